@@ -12,7 +12,7 @@ os.environ.setdefault("TZ", "UTC")
 def spark():
     from quire.session import local_session
 
-    session = local_session(4, 4)
+    session = local_session(int(os.environ.get("TEST_CPUS", "4")), 4)
     yield session
     session.stop()
 

@@ -12,7 +12,8 @@ os.environ.setdefault("TZ", "UTC")
 def spark():
     from quire.session import local_session
 
-    session = local_session(int(os.environ.get("TEST_CPUS", "4")), 4)
+    # Small Arrow batches, so that groups and runs stretch over several.
+    session = local_session(int(os.environ.get("TEST_CPUS", "8")), 4, **{"spark.sql.execution.arrow.maxRecordsPerBatch": "7"})
     yield session
     session.stop()
 

@@ -1,4 +1,6 @@
 """All queries of the library's own operators, and the SQL that says the same."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import books, metadata, scalars
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "books", "metadata", "scalars"]

@@ -93,7 +93,7 @@ def _not_first(batches):
             continue
         if held is not None:
             h, d, k, a = (np.concatenate([[x], y]) for x, y in zip(held, (h, d, k, a), strict=True))
-            b, sure = np.concatenate([[0], b]), np.concatenate([[False], sure])
+            b, sure = np.append(np.zeros(1, b.dtype), b), np.append(False, sure)
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
@@ -102,7 +102,7 @@ def _not_first(batches):
             out[0] = False
         if not sure[-1]:
             held = (h[head[-1]], d[head[-1]], k[head[-1]], a[head[-1]])
-        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (d, k, a, b)], ["doc", "k", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[out], t) for x, t in ((d, pa.int64()), (k, pa.int64()), (a, pa.int32()), (b, pa.int32()))], ["doc", "k", "a", "b"])
 
 
 def repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = WORDS, count: int = SENTENCES, alone: int = ALONE) -> DataFrame:

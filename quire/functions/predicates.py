@@ -29,8 +29,8 @@ BLOCKS = (
     "p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "ol", "ul", "dl", "dd", "dt", "table", "tr", "td", "th",
     "section", "article", "aside", "header", "footer", "nav", "figure", "figcaption", "caption", "main",
 )
-#: The path that a container's shared dictionary is stored under.
-DICTIONARY = "META-INF/zstd-dictionary"
+#: Fixed value: the path that a container's shared dictionary is stored under.
+DICTIONARY = "META-INF/zstd-dict.bin"
 
 
 def is_raster(media_type) -> Column:

@@ -41,7 +41,7 @@ def xhtml_namespace(spark, sf):
 
 PATHS = Literals("id, path", """
  (-1, 'a.b/c'), (-2, 'x/y.jpg'), (-3, 'noext'), (-4, '.hid'), (-5, 'OEBPS/images/Cover.PNG'), (-6, 'mimetype'), (-7, 'a b/c~d*e_x.tar.GZ'),
- (-8, '__MACOSX/._a.md'), (-9, 'x/cover.jpeg'), (-10, 'notes.MKD'), (-11, 'fonts/f.TTF'), (-12, 'META-INF/zstd-dictionary'), (-13, 'a/._b.md'), (-14, '100%25+x')""")
+ (-8, '__MACOSX/._a.md'), (-9, 'x/cover.jpeg'), (-10, 'notes.MKD'), (-11, 'fonts/f.TTF'), (-12, 'META-INF/zstd-dict.bin'), (-13, 'a/._b.md'), (-14, '100%25+x')""")
 _PATHS = f"(SELECT page_id AS id, url AS path FROM pages UNION ALL SELECT * FROM {PATHS.sql})"
 
 

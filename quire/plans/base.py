@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.session import reachable
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -14,7 +17,7 @@ def query(sql: str | None = None):
     """Registers a query under its function's name, with the SQL that says the same."""
 
     def keep(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = wraps(f)(lambda spark, sf_dir: f(reachable(spark), sf_dir))
         if sql is not None:
             ORACLES[f.__name__] = sql.strip()
         return f

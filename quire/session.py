@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package where it isn't installed but its folder is shared."""
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if ROOT not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
+    return spark
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **more: str) -> SparkSession:
     conf = {

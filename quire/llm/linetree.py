@@ -22,7 +22,7 @@ from .removals import applied, keyed, slices
 #: Leading tokens that choose a leaf; share of equal places at which a line joins a template; documents that make it recurring.
 DEPTH, ALIKE, DOCUMENTS = 3, 0.6, 5
 FIELD = "<*>"
-_VARIABLE = re.compile(r"\S*\d\S*")
+_DIGIT = re.compile(r"\d")
 _CACHE = 500_000
 
 
@@ -32,7 +32,20 @@ def split_lines(text: str) -> list[str]:
 
 
 def tokens(line: str) -> list[str]:
-    return _VARIABLE.sub(FIELD, line).split()
+    """The line's tokens, those with a digit as variable fields."""
+    own = line.split()
+    return [FIELD if _DIGIT.search(w) else w for w in own] if _DIGIT.search(line) else own
+
+
+class Codes(dict):
+    """16-bit hashes of tokens, 1 at least; 0 is a variable field."""
+
+    def __init__(self):
+        super().__init__({FIELD: 0})
+
+    def __missing__(self, token: str) -> int:
+        self[token] = code = xxhash.xxh32_intdigest(token) % 65_535 + 1
+        return code
 
 
 class Leaf:
@@ -64,10 +77,10 @@ def _rows(batches, depth, documents):
     A line in ``documents`` documents of one batch recurs for certain: all rows but its first
     document's are settled here, and only that one goes on, marked with the count.
     """
-    known: dict[str, int] = {FIELD: 0}
+    known = Codes()
     for doc, k, texts in slices(batches):
         if len(known) > _CACHE:
-            known = {FIELD: 0}
+            known = Codes()
         seen: dict[int, list] = {}
         for d, key, t in sorted(zip(doc.tolist(), k.tolist(), texts, strict=True), key=lambda x: x[:2]):
             for i, line in enumerate(split_lines(t)):
@@ -79,13 +92,7 @@ def _rows(batches, depth, documents):
                 entry = seen.get(h)
                 if entry is None:
                     leaf = xxhash.xxh3_64_intdigest(f"{len(own)} " + " ".join(own[:depth]))
-                    ids = []
-                    for w in own:
-                        v = known.get(w)
-                        if v is None:
-                            v = known[w] = xxhash.xxh32_intdigest(w) % 65_535 + 1
-                        ids.append(v)
-                    entry = seen[h] = [leaf, np.array(ids, np.uint16).tobytes(), []]
+                    entry = seen[h] = [leaf, np.fromiter(map(known.__getitem__, own), np.uint16, len(own)).tobytes(), []]
                 entry[2].append((d, key, i))
         out = []
         for h, (leaf, sig, places) in seen.items():

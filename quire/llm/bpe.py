@@ -10,6 +10,8 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
+from functools import cached_property
 from itertools import chain
 from pathlib import Path
 
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import prepare, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Entries kept of chunks and of pieces in a worker; beyond it the cache starts anew.
-CACHE = 250_000
+#: Entries of chunks and of pieces that a worker remembers at least.
+CACHE = 300_000
 #: Characters of text that are handled together.
 AT_ONCE = 1 << 21
 _EDGES = re.compile(r"\s | \s")
@@ -36,6 +38,24 @@ def byte_table() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class Cache(dict):
+    """Remembers at least the last ``size`` entries, at most twice as many: what the older half still serves moves up."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def lacks(self, keys) -> list[str]:
+        """The keys that aren't known; those in the older half are brought back."""
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+        fresh = set(keys) - self.keys()
+        back = fresh & self.old.keys()
+        self.update((k, self.old[k]) for k in back)
+        return list(fresh - back)
+
+
 class Codec:
     """Encodes and decodes by one rank file."""
 
@@ -43,27 +63,17 @@ class Codec:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer, models, pre_tokenizers
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         lines = Path(path).read_bytes().splitlines()
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        shown = byte_table()
-        text = {token: "".join(shown[b] for b in token) for token in ranks}
-        merges = []
-        for token in sorted(ranks, key=ranks.get):
-            splits = [(token[:i], token[i:]) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
-            merges += [(text[a], text[b]) for a, b in sorted(splits, key=lambda x: (ranks[x[0]], ranks[x[1]]))]
-        self.model = Tokenizer(models.BPE(vocab={text[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        back = {c: b for b, c in enumerate(shown)}
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = bytes(back[c] for c in text[token])
+        self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.shown = byte_table()
+        back = {c: b for b, c in enumerate(self.shown)}
+        self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            self.bytes_of[rank] = bytes(back[c] for c in self._text(token))
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.find = regex.compile(public_tokenizers.PATTERN).finditer
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.pieces, self.chunks = Cache(CACHE), Cache(CACHE)
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -71,11 +81,28 @@ class Codec:
             cls._known[path] = cls(path)
         return cls._known[path]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _text(self, token: bytes) -> str:
+        return "".join(self.shown[b] for b in token)
+
+    @cached_property
+    def model(self):
+        """The library's model, built when a piece is first encoded."""
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        ranks, text, merges = self.ranks, {t: self._text(t) for t in self.ranks}, []
+        for token in sorted(ranks, key=ranks.get):
+            splits = [(token[:i], token[i:]) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
+            merges += [(text[a], text[b]) for a, b in sorted(splits, key=lambda x: (ranks[x[0]], ranks[x[1]]))]
+        model = Tokenizer(models.BPE(vocab={text[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
+        model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return model
+
+    def _learn(self, pieces) -> None:
         """Encode pieces that aren't known yet, all in one call of the library."""
-        fresh = [p for p in dict.fromkeys(pieces) if p not in self.pieces]
+        fresh = self.pieces.lacks(pieces)
         for p, e in zip(fresh, self.model.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.pieces[p] = tuple(e.ids)
+            self.pieces[p] = array("i", e.ids).tobytes()
 
     @staticmethod
     def chunked(text: str) -> list[str]:
@@ -83,21 +110,31 @@ class Codec:
         if _EDGES.search(text):
             return [text]
         first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [first, *[" " + x for x in rest]]
+
+    def matches(self, chunk: str) -> list[str]:
+        """The pattern's matches; words of letters, alone or with a full stop or comma behind, need no search."""
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        if word.isalpha():
+            return [chunk]
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.split(chunk)
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, 4 bytes each."""
         parts = [self.chunked(t) for t in texts]
-        if len(self.chunks) > CACHE or len(self.pieces) > CACHE:
-            self.chunks, self.pieces = {}, {}
-        known = self.chunks
-        fresh = {c for p in parts for c in p if c not in known}
+        fresh = self.chunks.lacks(chain.from_iterable(parts))
         if fresh:
-            split = {c: self.split(c) for c in fresh}
-            self._learn([x for p in split.values() for x in p])
+            cut = [self.matches(c) for c in fresh]
+            self._learn(chain.from_iterable(cut))
             get = self.pieces.__getitem__
-            known.update((c, tuple(chain.from_iterable(map(get, p)))) for c, p in split.items())
-        get = known.__getitem__
-        return [list(chain.from_iterable(map(get, p))) for p in parts]
+            self.chunks.update(zip(fresh, [b"".join(map(get, m)) for m in cut], strict=True))
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, p)) for p in parts]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, np.int32).tolist() for x in self.packed(texts)]
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """For each id the characters [from, to) that its bytes touch; tokens that share a split character overlap."""
@@ -150,9 +187,9 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", offsets: str | N
             column = batch.column(batch.schema.get_field_index(text))
             for a, b in _runs(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()):
                 texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
-                coded = codec.encode(texts)
-                ends = np.cumsum([0, *map(len, coded)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(coded), np.int32, int(ends[-1]))
+                coded = codec.packed(texts)
+                ends = np.cumsum([0, *(len(x) // 4 for x in coded)], dtype=np.int32)
+                flat = np.frombuffer(b"".join(coded), np.int32)
                 more = {ids: pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
                 if offsets:
                     pairs = [[{"start": s, "end": e} for s, e in codec.offsets(t)] for t in texts]

@@ -9,9 +9,13 @@ expectation over all segmentations of all training texts, from equal probabiliti
 from __future__ import annotations
 
 import re
+import uuid
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +30,19 @@ CACHE = 400_000
 AT_ONCE = 1 << 21
 SMOOTHING = 0.01
 _LETTER = re.compile(r"[^\W\d_]")
+_ODD, _SHIFT, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(43), np.uint64(0xD1B54A32D192ED03)
+_SCORES: dict = {}
+
+
+def _step(h: np.ndarray, c) -> np.ndarray:
+    """The hash of a text with one more character."""
+    h = (h + c + np.uint64(1)) * _BASE
+    return h ^ (h >> np.uint64(29))
 
 
 class Vocabulary:
+    """Pieces by their text, and by a 64-bit hash of it that is computed for many words at once."""
+
     _known: dict[str, Vocabulary] = {}
 
     def __init__(self, path: str):
@@ -39,6 +53,29 @@ class Vocabulary:
         self.id = {model.id_to_piece(i): i for i in range(self.size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
         self.byte = {i: model.piece_to_id(f"<0x{i:02X}>") for i in range(256)}
         self.longest = max(map(len, self.id))
+        self.keys = np.zeros(self.size + 1, np.uint64)
+        self.tables = []
+        for word, k in self.id.items():
+            h = np.zeros(1, np.uint64)
+            for c in word:
+                h = _step(h, np.uint64(ord(c)))
+            self.keys[k] = h[0]
+        left = np.array(list(self.id.values()))
+        while len(left):  # what collides in a table goes to the next
+            odd = _ODD + np.uint64(2 * len(self.tables))
+            slot = (self.keys[left] * odd >> _SHIFT).astype(np.int64)
+            table = np.full(1 << (64 - int(_SHIFT)), self.size, np.int32)
+            table[slot] = left
+            self.tables.append((odd, table))
+            left = left[table[slot] != left]
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Pieces with these hashes, -1 where there is none."""
+        out = np.full(len(h), -1, np.int32)
+        for odd, table in self.tables:
+            k = table[(h * odd >> _SHIFT).astype(np.int64)]
+            out = np.where(self.keys[k] == h, k, out)
+        return out
 
     @classmethod
     def of(cls, path: str | None) -> Vocabulary:
@@ -72,19 +109,23 @@ def _by_length(words: list[str]):
     return groups.items()
 
 
-def _steps(vocab: Vocabulary, words: list[str], n: int, p: np.ndarray, alive=None):
-    """(i, j, rows of p, ids) for the words of length n; a missing piece has the id vocab.size, with probability 0."""
-    get, none = vocab.id.get, vocab.size
+def _steps(vocab: Vocabulary, words: list[str], n: int, p: np.ndarray):
+    """(i, j, rows, ids, probabilities) of the pieces that words of length n have from i to j.
+
+    ids is None for characters outside the vocabulary, which are spelled in bytes.
+    """
+    chars = np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n).T.astype(np.uint64))
     for i in range(n):
+        h = np.zeros(len(words), np.uint64)
         for j in range(i + 1, min(n, i + vocab.longest) + 1):
-            ids = np.fromiter((get(w[i:j], none) for w in words), np.int32, len(words))
-            if j == i + 1:
-                step = p[ids]
-                for row in np.flatnonzero(ids == none):
-                    step[row] = np.prod(p[vocab.spelled(words[row][i])], axis=0)
-                yield i, j, step, ids
-            elif (ids != none).any():
-                yield i, j, p[ids], ids
+            h = _step(h, chars[j - 1])
+            ids = vocab.find(h)
+            rows = np.flatnonzero(ids >= 0)
+            if len(rows):
+                yield i, j, rows, ids[rows], p[ids[rows]]
+            if j == i + 1 and len(rows) < len(words):
+                rows = np.flatnonzero(ids < 0)
+                yield i, j, rows, None, np.stack([np.prod(p[vocab.spelled(words[r][i])], axis=0) for r in rows])
 
 
 def score_words(vocab: Vocabulary, words: list[str], p: np.ndarray) -> np.ndarray:
@@ -98,8 +139,8 @@ def score_words(vocab: Vocabulary, words: list[str], p: np.ndarray) -> np.ndarra
             continue
         alpha = np.zeros((n + 1, len(own), p.shape[1]))
         alpha[0] = 1.0
-        for i, j, step, _ in _steps(vocab, own, n, p):
-            alpha[j] += alpha[i] * step
+        for i, j, rows, _, step in _steps(vocab, own, n, p):
+            alpha[j, rows] += alpha[i, rows] * step
         out[at] = np.log(np.maximum(alpha[n], 1e-300))
     return out
 
@@ -132,17 +173,21 @@ def expect(vocab: Vocabulary, words: list[str], weights: np.ndarray, p: np.ndarr
         steps = list(_steps(vocab, own, n, p))
         alpha, beta = np.zeros((n + 1, len(own))), np.zeros((n + 1, len(own)))
         alpha[0] = beta[n] = 1.0
-        for i, j, step, _ in steps:
-            alpha[j] += alpha[i] * step[:, 0]
-        for i, j, step, _ in reversed(steps):
-            beta[i] += beta[j] * step[:, 0]
+        for i, j, rows, _, step in steps:
+            alpha[j, rows] += alpha[i, rows] * step[:, 0]
         total = w / np.maximum(alpha[n], 1e-300)
-        for i, j, step, ids in steps:
-            share = alpha[i] * step[:, 0] * beta[j] * total
-            np.add.at(out, ids, share)
-            if j == i + 1:
-                for row in np.flatnonzero(ids == vocab.size):
-                    np.add.at(out, vocab.spelled(own[row][i]), share[row])
+        pieces, shares = [], []
+        for i, j, rows, ids, step in reversed(steps):
+            after = step[:, 0] * beta[j, rows]
+            beta[i, rows] += after
+            share = alpha[i, rows] * after * total[rows]
+            if ids is not None:
+                pieces.append(ids)
+                shares.append(share)
+            else:
+                for r, x in zip(rows, share, strict=True):
+                    np.add.at(out, vocab.spelled(own[r][i]), x)
+        out += np.bincount(np.concatenate([*pieces, [vocab.size]]), np.concatenate([*shares, [0.0]]), vocab.size + 1)
     return out[:-1]
 
 
@@ -169,10 +214,6 @@ def _expect_long(vocab, word, weight, p, out) -> None:
             np.add.at(out, list(ids), share)
 
 
-def _marked(text: str | None) -> list[str]:
-    return ["▁" + w for w in (text or "").split()]
-
-
 def train(df: DataFrame, text: str = "text", lang: str = "lang", path: str | None = None) -> tuple[list[str], np.ndarray]:
     """(languages in order, probabilities by piece and language) from all rows with a language.
 
@@ -187,20 +228,18 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", path: str | Non
         vocab = Vocabulary.of(path)
         flat = np.full(vocab.size + 1, 1.0 / vocab.size)
         flat[-1] = 0.0
-        seen: dict[str, dict[str, int]] = {}
+        seen: dict[str, Counter] = {}
         sums: dict[str, np.ndarray] = {}
 
         def settle():
             for k, words in seen.items():
-                got = expect(vocab, list(words), np.fromiter(words.values(), float, len(words)), flat)
+                got = expect(vocab, ["▁" + w for w in words], np.fromiter(words.values(), float, len(words)), flat)
                 sums[k] = sums[k] + got if k in sums else got
             seen.clear()
 
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1)), strict=True):
-                own = seen.setdefault(k, {})
-                for w in _marked(t):
-                    own[w] = own.get(w, 0) + 1
+                seen.setdefault(k, Counter()).update((t or "").split())
                 if sum(map(len, seen.values())) > CACHE:
                     settle()
         settle()
@@ -231,53 +270,41 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
     df = df.drop("lang_pred", "score")
     shared = spark.sparkContext.broadcast((model[0], model[1].astype(np.float64)))  # pieces x languages: bounded
 
+    token = uuid.uuid4().hex
+
     def run(batches):
         vocab = Vocabulary.of(path)
         langs, p = shared.value
-        known: dict[str, int] = {}
-        logs = np.zeros((0, len(langs)))
+        if _SCORES.get("model") != token:  # a worker remembers the words of one model between tasks
+            _SCORES.update(model=token, words={}, logs=np.zeros((0, len(langs))))
+
+        def scored(texts: list[str | None]):
+            if len(_SCORES["words"]) > CACHE:
+                _SCORES.update(words={}, logs=np.zeros((0, len(langs))))
+            known = _SCORES["words"]
+            words = [t.split() if t and _LETTER.search(t) else [] for t in texts]
+            fresh = list(set(chain.from_iterable(words)) - known.keys())
+            if fresh:
+                known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+                _SCORES["logs"] = np.concatenate([_SCORES["logs"], score_words(vocab, ["▁" + w for w in fresh], p)])
+            for own in words:
+                if not own or not langs:
+                    yield "und", 0.0
+                    continue
+                ids = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
+                total = _SCORES["logs"][ids].sum(axis=0)
+                best = int(total.argmax())
+                yield langs[best], round(float(1.0 / np.exp(total - total[best]).sum()), 6)
+
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            preds, scores = [], []
-            size, part = 0, []
-
-            def flush():
-                nonlocal logs, known
-                if len(known) > CACHE:
-                    known, logs = {}, np.zeros((0, len(langs)))
-                fresh: list[str] = []
-                rows = []
-                for words in part:
-                    ids = []
-                    for w in words:
-                        k = known.get(w)
-                        if k is None:
-                            k = known[w] = len(known)
-                            fresh.append(w)
-                        ids.append(k)
-                    rows.append(ids)
-                if fresh:
-                    logs = np.concatenate([logs, score_words(vocab, fresh, p)])
-                for ids in rows:
-                    if not ids or not langs:
-                        preds.append("und")
-                        scores.append(0.0)
-                        continue
-                    total = logs[ids].sum(axis=0)
-                    best = int(total.argmax())
-                    preds.append(langs[best])
-                    scores.append(round(float(1.0 / np.exp(total - total[best]).sum()), 6))
-                part.clear()
-
-            for x in column:
-                t = x.as_py()
-                part.append(_marked(t) if t and _LETTER.search(t) else [])
-                size += len(t or "")
-                if size > AT_ONCE:
-                    flush()
-                    size = 0
-            flush()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False))
+            told, a = [], 0
+            while a < len(column):
+                b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + AT_ONCE)))
+                told += scored(column.slice(a, b - a).to_pylist())
+                a = b
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "lang_pred string, score double"])
     return df.mapInArrow(run, ddl)

@@ -25,7 +25,7 @@ from .common import prepare, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Entries of chunks and of pieces that a worker remembers at least.
-CACHE = 300_000
+CACHE = 250_000
 #: Characters of text that are handled together.
 AT_ONCE = 1 << 21
 _EDGES = re.compile(r"\s | \s")

@@ -1,4 +1,10 @@
-"""Substring dedup by sliding spans of consecutive sentences."""
+"""Substring dedup by sliding spans of consecutive sentences.
+
+A repeat seldom begins and ends with a sentence. Long sentences are therefore cut at words that their
+neighbours choose, so equal passages are cut alike wherever they stand in their sentences: of every
+verbatim repeat of 2 * PIECE + WORDS - 1 words all but PIECE - 1 words at its beginning and PIECE at
+its end are whole parts, enough for a span, and go.
+"""
 
 from __future__ import annotations
 
@@ -14,20 +20,13 @@ from .removals import SCHEMA, applied, dealt, keyed, slices
 
 #: A span is a shortest run of at least so many sentences and words; one sentence of ALONE words is one too.
 SENTENCES, WORDS, ALONE = 2, 25, 50
+#: Sentences of more words are cut, into parts of as many words at most.
+PIECE = 13
 _END = re.compile(r"[.!?][\"')\]’”»]*\s+|\n\s*")
 _M = 0x9E3779B97F4A7C15
 _INVERSE = pow(_M, -1, 1 << 64)
-
-
-def sentences(text: str) -> list[str]:
-    """Parts that add up to the text: each ends behind [.!?], closing marks and white space, or a line's end."""
-    out, at = [], 0
-    for m in _END.finditer(text):
-        out.append(text[at : m.end()])
-        at = m.end()
-    if at < len(text):
-        out.append(text[at:])
-    return out
+#: Whether a code point is white space; the last entry stands for all above.
+_BLANK = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -36,6 +35,51 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _cuts(text: str, ends: list[int]) -> list[int]:
+    """Where words begin that have the smallest hash, the last of several, of any PIECE consecutive ones of a long sentence."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = _BLANK[np.minimum(c, 0x3001)]
+    edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    first, last = edges[::2], edges[1::2]
+    n = len(first)
+    if n <= PIECE:
+        return []
+    of = np.searchsorted(ends, first, "right")
+    begins = np.flatnonzero(np.diff(of, prepend=-1))
+    size = np.diff(begins, append=n)
+    at = np.repeat(begins, size)
+    whole = np.arange(n - PIECE + 1)
+    whole = whole[(of[: n - PIECE + 1] == of[PIECE - 1 :]) & (np.repeat(size, size)[: n - PIECE + 1] > PIECE)]
+    if not len(whole):
+        return []
+    summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum((c + np.uint64(1)) * _powers(len(c), _M), dtype=np.uint64)])
+    h = (summed[last] - summed[first]) * _powers(len(c), _INVERSE)[first]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(_M)
+    low = ((h >> np.uint64(33)).astype(np.int64) << 32) + np.arange(n - 1, -1, -1)
+    span = 1
+    while 2 * span <= PIECE:
+        low, span = np.minimum(low[:-span], low[span:]), 2 * span
+    low = np.minimum(low[: n - PIECE + 1], low[PIECE - span : n - span + 1])
+    chosen = n - 1 - (low[whole] & 0xFFFFFFFF)
+    return first[chosen[chosen > at[chosen]]].tolist()
+
+
+def sentences(text: str) -> list[str]:
+    """Parts that add up to the text: each ends behind [.!?], closing marks and white space, or a line's end.
+
+    Sentences of more than PIECE words are cut before words that are chosen by the PIECE words around them.
+    """
+    if not text:
+        return []
+    ends = [m.end() for m in _END.finditer(text)]
+    if not ends or ends[-1] < len(text):
+        ends.append(len(text))
+    marks = [0, *ends]
+    if any(b - a > 2 * PIECE for a, b in zip(marks, ends, strict=False)):
+        marks = sorted({*marks, *_cuts(text, ends)})
+    return [text[a:b] for a, b in zip(marks, marks[1:], strict=False)]
+
+
 def runs(words: np.ndarray, first: np.ndarray, last: np.ndarray, least: int, count: int, alone: int) -> np.ndarray:
     """(a, b) of the spans: from every sentence the shortest run forward, to every sentence the shortest backward.
 
@@ -55,7 +99,7 @@ def runs(words: np.ndarray, first: np.ndarray, last: np.ndarray, least: int, cou
 
 
 def _spans(batches, least, count, alone):
-    for doc, k, texts in slices(batches):
+    for doc, k, texts in slices(batches, 1 << 21):
         cut = [sentences(t) for t in texts]
         sizes = np.array([len(c) for c in cut], np.int64)
         ends = np.cumsum(sizes)
@@ -114,7 +158,7 @@ def repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: i
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = WORDS, count: int = SENTENCES, alone: int = ALONE) -> DataFrame:
     """``df`` with its texts rid of sentences that a non-first repeated span covers.
 
-    Adds n_sentences and n_removed. Spans are compared with white space made single. The first
+    Adds n_sentences and n_removed, which count the parts of a cut sentence each. Spans are compared with white space made single. The first
     occurrence, by document id (null last) and place, always stays. Null texts stay null; texts of
     fewer words than a span has are never touched; rows that repeat id and text are one document
     and are all kept. An empty table stays empty. Other columns are returned as they are.

@@ -119,3 +119,34 @@ def test_templates_generalise_variable_fields(spark):
     assert got[0]["text"] == docs[0][1] and got[0]["n_dropped"] == 0
     assert all("Log in" not in got[i]["text"] for i in range(1, 8))
     assert linetree.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_repeat_that_begins_and_ends_inside_sentences_goes(spark):
+    rng = random.Random(5)
+    words = lambda n: ["".join(rng.choices("abcdefg", k=6)) for _ in range(n)]
+    docs, least = [], {}
+    for i, (head, inner, tail) in enumerate([(18, [15], 18), (24, [], 27), (12, [26], 13), (51, [], 0), (12, [13, 14], 12), (0, [], 88), (25, [1], 25)]):
+        shared = words(head) + [w for n in inner for w in [*words(n - 1), "end."]] + words(tail)
+        if inner and head:
+            shared[head - 1] += "."
+        for j in (0, 1):
+            docs.append((2 * i + j, " ".join([*words(rng.randint(1, 40)), *shared, *words(rng.randint(1, 40))]) + "."))
+        least[2 * i + 1] = len(shared) - 2 * spans.PIECE + 1
+    got = {r["doc_id"]: r["text"] for r in spans.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for d, t in docs:
+        gone = len(t.split()) - len(got[d].split())
+        assert gone == 0 if d % 2 == 0 else gone >= least[d] >= spans.WORDS, d
+
+
+def test_cuts_of_long_sentences_depend_on_their_neighbourhood_alone():
+    rng = random.Random(6)
+    for _ in range(300):
+        words = rng.choices("abcdefghijklmnop" if rng.random() < 0.8 else "a", k=rng.randint(0, 120))
+        words = [w + rng.choice([" ", " ", " ", " ", "  ", ". ", "\n"]) if rng.random() < 0.2 else w + " " for w in words]
+        parts = spans.sentences("".join(words))
+        assert "".join(parts) == "".join(words) and all(len(p.split()) <= spans.PIECE for p in parts)
+        ends = lambda s: set(np.cumsum([len(p.split()) for p in spans.sentences(s)]).tolist())
+        a = rng.randint(0, len(words))
+        inside = ends("".join(words)), {x + a for x in ends("".join(words[a:]))}
+        first = min((x for x in inside[0] & inside[1] if x >= a), default=len(words))
+        assert first <= a + spans.PIECE and {x for x in inside[0] if x > first} == {x for x in inside[1] if x > first}

@@ -1,9 +1,9 @@
 """Line dedup by a tree of log templates.
 
 Lines go down a tree of fixed depth: by their number of tokens, then by their leading tokens, with
-tokens that hold a digit as variable fields. In a leaf a line joins the template that it resembles
-most, and every place where they differ becomes a variable field. Templates that recur across
-documents are dropped everywhere but in the first document that has them.
+numbers as variable fields. In a leaf a line joins the template that it resembles most; templates stay
+as their first line was, so they can't drift. Templates that recur across documents are dropped
+everywhere but in the first document that has them.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import partitions, prepare, table
 from .removals import applied, keyed, slices
 
-#: Leading tokens that choose a leaf; share of equal places at which a line joins a template; documents that make it recurring.
+#: Leading tokens that choose a leaf; share of equal places behind them at which a line joins a template; documents that make it recurring.
 DEPTH, ALIKE, DOCUMENTS = 3, 0.6, 5
 FIELD = "<*>"
 _DIGIT = re.compile(r"\d")
@@ -51,18 +51,21 @@ class Codes(dict):
 class Leaf:
     """The templates of one leaf, each an array of 16-bit token hashes; 0 is a variable field."""
 
-    def __init__(self, alike: float):
-        self.alike, self.n, self.at = alike, 0, np.zeros((4, 0), np.uint16)
+    def __init__(self, alike: float, depth: int = DEPTH):
+        self.alike, self.depth, self.n, self.at = alike, depth, 0, np.zeros((4, 0), np.uint16)
 
     def place(self, line: np.ndarray) -> int:
-        """The template that the line joins: the most alike one, the first of several, or a new one."""
+        """The template that the line joins: the most alike one, the first of several, or a new one.
+
+        Only constant tokens behind the leading ones count, which all lines of a leaf share.
+        """
         if not self.n:
             self.at = np.zeros((4, len(line)), np.uint16)
-        if self.n and len(line):
-            same = ((self.at[: self.n] == line) & (line != 0)).sum(axis=1) + (self.at[: self.n] == 0).sum(axis=1) * 0.5
+        tail = line[self.depth :]
+        if self.n and len(tail):
+            same = ((self.at[: self.n, self.depth :] == tail) & (tail != 0)).sum(axis=1)
             best = int(same.argmax())
-            if same[best] >= self.alike * len(line):
-                self.at[best][self.at[best] != line] = 0
+            if same[best] >= self.alike * len(tail):
                 return best
         if self.n == len(self.at):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
@@ -120,7 +123,7 @@ class _Template:
         self.docs, self.recurs, self.first, self.held, self.waiting = set(), False, None, [], []
 
 
-def _recurring(batches, alike, documents):
+def _recurring(batches, depth, alike, documents):
     """Of rows by (sure, leaf, h, no sig last, ...): (doc, k, a, b) of lines to drop. Memory: the templates of one leaf."""
     leaf_id, leaf, last, current = None, None, None, None
     templates: list[_Template] = []
@@ -131,7 +134,7 @@ def _recurring(batches, alike, documents):
                 out.append((d, k, i))
                 continue
             if lf != leaf_id:
-                leaf_id, leaf, templates, last = lf, Leaf(alike), [], None
+                leaf_id, leaf, templates, last = lf, Leaf(alike, depth), [], None
             if h != last:
                 last, t = h, leaf.place(np.frombuffer(sig, np.uint16))
                 if t == len(templates):
@@ -167,7 +170,7 @@ def recurring(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth:
     rows = keyed(df, doc_id, text).mapInArrow(lambda x: _rows(x, depth, documents), _ROWS)
     key = F.when(F.col("sure"), F.xxhash64("doc", "i")).otherwise(F.col("leaf"))
     order = ["sure", "leaf", "h", F.col("sig").isNull(), "doc", "k", "i"]
-    return rows.repartition(partitions(df), key).sortWithinPartitions(*order).mapInArrow(lambda x: _recurring(x, alike, documents), "doc long, k long, a int, b int")
+    return rows.repartition(partitions(df), key).sortWithinPartitions(*order).mapInArrow(lambda x: _recurring(x, depth, alike, documents), "doc long, k long, a int, b int")
 
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, alike: float = ALIKE, documents: int = DOCUMENTS) -> DataFrame:

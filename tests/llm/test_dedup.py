@@ -150,3 +150,13 @@ def test_cuts_of_long_sentences_depend_on_their_neighbourhood_alone():
         inside = ends("".join(words)), {x + a for x in ends("".join(words[a:]))}
         first = min((x for x in inside[0] & inside[1] if x >= a), default=len(words))
         assert first <= a + spans.PIECE and {x for x in inside[0] if x > first} == {x for x in inside[1] if x > first}
+
+
+def test_different_lines_of_one_beginning_stay(spark):
+    words = [f"{a}{b}" for a in ("gold", "milk", "rice", "salt", "wool", "corn") for b in ("en", "ish")]
+    frames = [lambda i: f"The price of {words[i]} rose{words[-i]}.", lambda i: " ".join(["We also saw", *(words[(i * k + k) % 12] + "abcdefg"[k] for k in range(7))])]
+    docs = [(i, "\n".join([f(i) for f in frames] + [f"Read all about {words[i]} on our news page today"])) for i in range(10)]
+    got = {r["doc_id"]: r["text"].split("\n") for r in linetree.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, text in docs:
+        assert got[i][:2] == text.split("\n")[:2]
+        assert (len(got[i]) == 3 and got[i][2] != "") == (i == 0)

@@ -23,6 +23,10 @@ from .removals import applied, keyed, slices
 DEPTH, ALIKE, DOCUMENTS = 3, 0.6, 5
 FIELD = "<*>"
 _DIGIT = re.compile(r"\d")
+_DIGITS = re.compile(r"\d+")
+_LETTER = re.compile(r"[^\W\d_]")
+#: Letters of scripts that don't put spaces between words; each stands for a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]")
 _CACHE = 500_000
 
 
@@ -32,9 +36,30 @@ def split_lines(text: str) -> list[str]:
 
 
 def tokens(line: str) -> list[str]:
-    """The line's tokens, those with a digit as variable fields."""
+    """The line's tokens, numbers as variable fields and digits inside words masked.
+
+    A line whose words without digits are fewer than its other tokens tells nothing but its numbers:
+    it is one token, itself, so that only equal lines are like it.
+    """
     own = line.split()
-    return [FIELD if _DIGIT.search(w) else w for w in own] if _DIGIT.search(line) else own
+    if not _DIGIT.search(line):
+        return own
+    words = fields = 0
+    out = []
+    for w in own:
+        if not _DIGIT.search(w):
+            words += _LETTER.search(w) is not None
+            fields += _LETTER.search(w) is None
+            out.append(w)
+        elif not _LETTER.search(w):
+            fields += 1
+            out.append(FIELD)
+        else:
+            masked = _DIGITS.sub(FIELD, w)
+            words += len(_UNSPACED.findall(w))
+            fields += masked.count(FIELD)
+            out.append(masked)
+    return out if words >= fields else [" ".join(own)]
 
 
 class Codes(dict):

@@ -160,3 +160,15 @@ def test_different_lines_of_one_beginning_stay(spark):
     for i, text in docs:
         assert got[i][:2] == text.split("\n")[:2]
         assert (len(got[i]) == 3 and got[i][2] != "") == (i == 0)
+
+
+def test_lines_of_numbers_and_unspaced_lines_are_compared_as_they_are(spark):
+    forms = ["{0}", "{0}.5 2.{0}", "2024-05-{0} 12:{0}", "| {0} | {1} | 7 |", "{0} apples {1}", "今天的价格是{0}元在市场{word}", "A{0} B{1}"]
+    words = ["上海", "北京", "广州", "深圳", "成都", "武汉", "西安", "南京"]
+    text = lambda i: "\n".join(f.format(10 + i, 90 - i, word=words[i]) for f in forms) + f"\nSeite {i} von 20\n第{i}页共9页\nuser{i} has just logged in\n"
+    docs = [(i, text(i)) for i in range(8)] + [(8 + i, "1.5 2.5 and\n2.5 1.5 7 8 9 10\n") for i in range(6)]
+    got = {r["doc_id"]: r["text"] for r in linetree.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i in range(1, 8):
+        assert got[i] == "".join(line + "\n" for line in docs[i][1].split("\n")[: len(forms)])
+    assert got[0] == docs[0][1] and got[8] == docs[8][1]
+    assert all(got[9 + i] == "" for i in range(5))

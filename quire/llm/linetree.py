@@ -3,7 +3,8 @@
 Lines go down a tree of fixed depth: by their number of tokens, then by their leading tokens, with
 numbers as variable fields. In a leaf a line joins the template that it resembles most; templates stay
 as their first line was, so they can't drift. Templates that recur across documents are dropped
-everywhere but in the first document that has them.
+everywhere but in the first document that has them; lines that recur word for word, from the second
+document on unless they are very short.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .removals import applied, keyed, slices
 
 #: Leading tokens that choose a leaf; share of equal places behind them at which a line joins a template; documents that make it recurring.
 DEPTH, ALIKE, DOCUMENTS = 3, 0.6, 5
+#: Bytes from which a line that recurs word for word goes from the second document on.
+LONG = 30
 FIELD = "<*>"
 _DIGIT = re.compile(r"\d")
 _DIGITS = re.compile(r"\d+")
@@ -100,7 +103,7 @@ class Leaf:
 
 
 def _rows(batches, depth, documents):
-    """One row for each line of a document: its leaf, hash and place; the tokens' hashes stand in a batch's first row of a line.
+    """One row for each line of a document: its leaf, hash and place, the hash of its own text if that is long; the tokens' hashes stand in a batch's first row of a line.
 
     A line in ``documents`` documents of one batch recurs for certain: all rows but its first
     document's are settled here, and only that one goes on, marked with the count.
@@ -117,26 +120,28 @@ def _rows(batches, depth, documents):
                     continue
                 whole = " ".join(own)
                 h = xxhash.xxh3_64_intdigest(whole)
+                raw = " ".join(line.split()) if _DIGIT.search(line) else whole
+                x = (h if raw == whole else xxhash.xxh3_64_intdigest(raw)) if len(raw) >= LONG or len(raw.encode()) >= LONG else None
                 entry = seen.get(h)
                 if entry is None:
                     leaf = xxhash.xxh3_64_intdigest(f"{len(own)} " + " ".join(own[:depth]))
                     entry = seen[h] = [leaf, np.fromiter(map(known.__getitem__, own), np.uint16, len(own)).tobytes(), []]
-                entry[2].append((d, key, i))
+                entry[2].append((d, key, i, x))
         out = []
         for h, (leaf, sig, places) in seen.items():
             head = places[0][:2]
             n = len({p[:2] for p in places}) if len(places) >= documents else 0
-            for j, (d, key, i) in enumerate(places):
+            for j, (d, key, i, x) in enumerate(places):
                 settled = n >= documents and (d, key) != head
-                out.append((leaf, h, d, key, i, sig if not j else None, settled, n if not j else 0))
+                out.append((leaf, h, d, key, i, sig if not j else None, settled, n if not j else 0, None if n >= documents or x is None else x - (x >> 63 << 64)))
         if out:
             columns = list(zip(*out, strict=True))
             wide = [pa.array(np.array(columns[j], np.uint64).view(np.int64)) for j in (0, 1)]
-            rest = [pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int32()), pa.array(columns[5], pa.binary()), pa.array(columns[6], pa.bool_()), pa.array(columns[7], pa.int32())]
-            yield pa.RecordBatch.from_arrays(wide + rest, ["leaf", "h", "doc", "k", "i", "sig", "sure", "n"])
+            rest = [pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int32()), pa.array(columns[5], pa.binary()), pa.array(columns[6], pa.bool_()), pa.array(columns[7], pa.int32()), pa.array(columns[8], pa.int64())]
+            yield pa.RecordBatch.from_arrays(wide + rest, ["leaf", "h", "doc", "k", "i", "sig", "sure", "n", "x"])
 
 
-_ROWS = "leaf long, h long, doc long, k long, i int, sig binary, sure boolean, n int"
+_ROWS = "leaf long, h long, doc long, k long, i int, sig binary, sure boolean, n int, x long"
 
 
 class _Template:
@@ -148,46 +153,66 @@ class _Template:
         self.docs, self.recurs, self.first, self.held, self.waiting = set(), False, None, [], []
 
 
+def _copies(templates: list[_Template]):
+    """(d, k, i) of long lines that stand word for word in an earlier document, of templates that don't recur: all their rows wait."""
+    for t in templates:
+        if t.recurs or not t.waiting:
+            continue
+        first: dict[int, tuple] = {}
+        rows = [r for r in t.waiting + t.held if r[3] is not None]
+        for d, k, _, x in rows:
+            first[x] = min(first.get(x, (d, k)), (d, k))
+        yield from (r[:3] for r in rows if r[:2] != first[r[3]])
+
+
 def _recurring(batches, depth, alike, documents):
     """Of rows by (sure, leaf, h, no sig last, ...): (doc, k, a, b) of lines to drop. Memory: the templates of one leaf."""
     leaf_id, leaf, last, current = None, None, None, None
     templates: list[_Template] = []
     for batch in batches:
         out = []
-        for lf, h, d, k, i, sig, sure, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for lf, h, d, k, i, sig, sure, n, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if sure:
                 out.append((d, k, i))
                 continue
             if lf != leaf_id:
+                out += _copies(templates)
                 leaf_id, leaf, templates, last = lf, Leaf(alike, depth), [], None
             if h != last:
                 last, t = h, leaf.place(np.frombuffer(sig, np.uint16))
                 if t == len(templates):
                     templates.append(_Template())
                 current = templates[t]
-            x, who = current, (d, k)
+            x, who, row = current, (d, k), (d, k, i, own)
             if not x.recurs:
                 x.docs.add(who)
                 x.recurs = n >= documents or len(x.docs) >= documents
             if x.first is None or who < x.first:
                 x.waiting += x.held
-                x.first, x.held = who, [(d, k, i)]
+                x.first, x.held = who, [row]
             elif who == x.first:
-                x.held.append((d, k, i))
+                x.held.append(row)
             else:
-                x.waiting.append((d, k, i))
+                x.waiting.append(row)
             if x.recurs:
                 x.docs = ()
-                out += x.waiting
+                out += (r[:3] for r in x.waiting)
                 x.waiting = []
         if out:
-            columns = list(zip(*out, strict=True))
-            a = np.array(columns[2], np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(a), pa.array(a + 1, pa.int32())], ["doc", "k", "a", "b"])
+            yield _dropped(out)
+    out = list(_copies(templates))
+    if out:
+        yield _dropped(out)
+
+
+def _dropped(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    a = np.array(columns[2], np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(a), pa.array(a + 1, pa.int32())], ["doc", "k", "a", "b"])
 
 
 def recurring(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, alike: float = ALIKE, documents: int = DOCUMENTS) -> DataFrame:
-    """(doc, k, a, b): lines [a, b) whose template recurs in at least ``documents`` documents, but for its first document.
+    """(doc, k, a, b): lines [a, b) whose template recurs in at least ``documents`` documents, or that recur word for word in two and have LONG bytes, but for the first document.
 
     Lines enter a leaf in the order of their hashes, so the templates don't depend on how the input
     is dealt out.

@@ -172,3 +172,16 @@ def test_lines_of_numbers_and_unspaced_lines_are_compared_as_they_are(spark):
         assert got[i] == "".join(line + "\n" for line in docs[i][1].split("\n")[: len(forms)])
     assert got[0] == docs[0][1] and got[8] == docs[8][1]
     assert all(got[9 + i] == "" for i in range(5))
+
+
+def test_long_lines_that_recur_word_for_word_go_from_the_second_document_on(spark):
+    same, number = "Subscribe to our weekly letter and never miss a story again.", "Our office on 12 Main Street is open until 18:30 every day."
+    docs = [(i, f"{same}\nRead more\n{number if i < 4 else number.replace('12', '77')}\nown line of {'abcd'[i % 4]}{'xyz'[i % 3]}\n") for i in (2, 3, 4)] + [(9, f"{same}\n{same}\n")]
+    docs += [(20 + i, f"文章的版权属于作者本人所有未经许可不得转载\n{'甲乙'[i]}\n") for i in range(2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in linetree.dedup(df).collect()}
+    want = {d: t for d, t in docs}
+    want[3] = "Read more\n" + want[3].split("\n")[3] + "\n"
+    want[4] = want[4].replace(same + "\n", "")
+    want[9], want[21] = "", "乙\n"
+    assert got == want

@@ -23,17 +23,24 @@ from pyspark.sql import functions as F
 from .common import prepare, table
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Words longer than this are summed one by one with rescaling, not by the matrix of their length.
+#: Words longer than this are summed one by one, not by the matrix of their length.
 LONG = 40
+#: Characters after which sums are rescaled: fewer than make a double vanish, even where each is spelled in four bytes.
+RESCALE = 4
 #: Words whose probabilities a worker keeps.
 CACHE = 400_000
 AT_ONCE = 1 << 21
 SMOOTHING = 0.01
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]")
 _ODD, _SHIFT, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(43), np.uint64(0xD1B54A32D192ED03)
 _SCORES: dict = {}
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a character of one of Unicode's letter categories; number signs like \u00bd are none."""
+    return any(m[0].isalpha() for m in _WORD.finditer(text or ""))
+
+
 def _step(h: np.ndarray, c) -> np.ndarray:
     """The hash of a text with one more character."""
     h = (h + c + np.uint64(1)) * _BASE
@@ -128,6 +135,25 @@ def _steps(vocab: Vocabulary, words: list[str], n: int, p: np.ndarray):
                 yield i, j, rows, None, np.stack([np.prod(p[vocab.spelled(words[r][i])], axis=0) for r in rows])
 
 
+def _forward(steps, n: int, rows: int, wide: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all ways from 0 to each place, and the logarithms of what they were divided by.
+
+    Steps must rise by their begin. Every RESCALE places the sums that are open there (a step reaches
+    ``reach`` places at most) are divided by their largest, so no length and no spelling underflows.
+    """
+    alpha, shift = np.zeros((n + 1, rows, wide)), np.zeros((n + 1, rows, wide))
+    alpha[0] = 1.0
+    scaled = 0
+    for i, j, at, _, step in steps:
+        if i >= scaled + RESCALE:
+            scaled = i
+            top = alpha[i : i + reach + 1].max(axis=0)
+            alpha[i : i + reach + 1] /= top
+            shift[i:] += np.log(top)
+        alpha[j, at] += alpha[i, at] * step
+    return alpha, shift
+
+
 def score_words(vocab: Vocabulary, words: list[str], p: np.ndarray) -> np.ndarray:
     """Natural logarithms of the words' probabilities, a column per language. p: (pieces + 1, languages), last row 0."""
     out = np.empty((len(words), p.shape[1]))
@@ -137,11 +163,8 @@ def score_words(vocab: Vocabulary, words: list[str], p: np.ndarray) -> np.ndarra
             for i, w in zip(at, own, strict=True):
                 out[i] = _score_long(vocab, w, p)
             continue
-        alpha = np.zeros((n + 1, len(own), p.shape[1]))
-        alpha[0] = 1.0
-        for i, j, rows, _, step in _steps(vocab, own, n, p):
-            alpha[j, rows] += alpha[i, rows] * step
-        out[at] = np.log(np.maximum(alpha[n], 1e-300))
+        alpha, shift = _forward(_steps(vocab, own, n, p), n, len(own), p.shape[1], vocab.longest)
+        out[at] = np.log(alpha[n]) + shift[n]
     return out
 
 
@@ -151,13 +174,13 @@ def _score_long(vocab: Vocabulary, word: str, p: np.ndarray) -> np.ndarray:
     alpha[0] = 1.0
     shift, near = np.zeros(p.shape[1]), 0
     for i, j, ids in vocab.arcs(word):
-        if i > near and i % 16 == 0:
+        if i >= near + RESCALE:
             near = i
-            top = np.maximum(alpha[i : i + vocab.longest + 1].max(axis=0), 1e-300)
+            top = alpha[i : i + vocab.longest + 1].max(axis=0)
             alpha[i : i + vocab.longest + 1] /= top
             shift += np.log(top)
         alpha[j] += alpha[i] * (p[ids[0]] if len(ids) == 1 else np.prod(p[ids], axis=0))
-    return shift + np.log(np.maximum(alpha[n], 1e-300))
+    return shift + np.log(alpha[n])
 
 
 def expect(vocab: Vocabulary, words: list[str], weights: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -171,16 +194,23 @@ def expect(vocab: Vocabulary, words: list[str], weights: np.ndarray, p: np.ndarr
                 _expect_long(vocab, word, weight, p, out)
             continue
         steps = list(_steps(vocab, own, n, p))
-        alpha, beta = np.zeros((n + 1, len(own))), np.zeros((n + 1, len(own)))
-        alpha[0] = beta[n] = 1.0
-        for i, j, rows, _, step in steps:
-            alpha[j, rows] += alpha[i, rows] * step[:, 0]
-        total = w / np.maximum(alpha[n], 1e-300)
+        alpha, shift = (x[:, :, 0] for x in _forward(steps, n, len(own), 1, vocab.longest))
+        # beta[i] * exp(back[i]) sums all ways from i to the end.
+        beta, back = np.zeros((n + 1, len(own))), np.zeros((n + 1, len(own)))
+        beta[n] = 1.0
+        scaled = n
+        total = np.log(alpha[n]) + shift[n]
         pieces, shares = [], []
-        for i, j, rows, ids, step in reversed(steps):
+        for i, j, rows, ids, step in sorted(steps, key=lambda x: -x[1]):
+            if j <= scaled - RESCALE:
+                scaled = j
+                low = max(0, j - vocab.longest)
+                top = beta[low : j + 1].max(axis=0)
+                beta[low : j + 1] /= top
+                back[: j + 1] += np.log(top)
             after = step[:, 0] * beta[j, rows]
             beta[i, rows] += after
-            share = alpha[i, rows] * after * total[rows]
+            share = w[rows] * alpha[i, rows] * after * np.exp(shift[i, rows] + back[j, rows] - total[rows])
             if ids is not None:
                 pieces.append(ids)
                 shares.append(share)
@@ -204,13 +234,13 @@ def _expect_long(vocab, word, weight, p, out) -> None:
     log_a[0] = log_b[n] = 0.0
     for j in range(1, n + 1):
         if into[j]:
-            log_a[j] = np.logaddexp.reduce([log_a[i] + np.log(max(s, 1e-300)) for i, s, _ in into[j]])
+            log_a[j] = np.logaddexp.reduce([log_a[i] + np.log(s) for i, s, _ in into[j]])
     for i in range(n - 1, -1, -1):
         if outof[i]:
-            log_b[i] = np.logaddexp.reduce([log_b[j] + np.log(max(s, 1e-300)) for j, s in outof[i]])
+            log_b[i] = np.logaddexp.reduce([log_b[j] + np.log(s) for j, s in outof[i]])
     for j in range(1, n + 1):
         for i, s, ids in into[j]:
-            share = weight * np.exp(min(0.0, log_a[i] + np.log(max(s, 1e-300)) + log_b[j] - log_a[n]))
+            share = weight * np.exp(min(0.0, log_a[i] + np.log(s) + log_b[j] - log_a[n]))
             np.add.at(out, list(ids), share)
 
 
@@ -263,7 +293,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", path: str | Non
 def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", path: str | None = None) -> DataFrame:
     """Adds lang_pred and score, the posterior of that language under equal priors.
 
-    Texts that are null or have no letter get ``und`` and 0.0, as all do where nothing was learned.
+    Texts that are null or have no letter of Unicode's categories L get ``und`` and 0.0, as all do where nothing was learned.
     Ties go to the first language in order. Columns of these names are replaced.
     """
     spark = prepare(df.sparkSession)
@@ -282,7 +312,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
             if len(_SCORES["words"]) > CACHE:
                 _SCORES.update(words={}, logs=np.zeros((0, len(langs))))
             known = _SCORES["words"]
-            words = [t.split() if t and _LETTER.search(t) else [] for t in texts]
+            words = [t.split() if has_letter(t) else [] for t in texts]
             fresh = list(set(chain.from_iterable(words)) - known.keys())
             if fresh:
                 known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))

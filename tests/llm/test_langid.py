@@ -72,3 +72,81 @@ def test_nulls_empty_and_clashing_columns(spark):
     empty = df.limit(0)
     assert langid.predict(empty, langid.train(empty)).count() == 0
     assert {r["lang_pred"] for r in langid.predict(df, langid.train(empty)).collect()} == {"und"}
+
+
+def plain_arcs(vocab, word):
+    """All steps through a word, written without the module's tables."""
+    for i, c in enumerate(word):
+        for j in range(i + 1, len(word) + 1):
+            if word[i:j] in vocab.id:
+                yield i, j, [vocab.id[word[i:j]]]
+        if c not in vocab.id:
+            yield i, i + 1, [vocab.byte[b] for b in c.encode()]
+
+
+def forward(arcs, n, logs):
+    out = np.full((n + 1, logs.shape[1]), -np.inf)
+    out[0] = 0.0
+    for i, j, ids in arcs:
+        out[j] = np.logaddexp(out[j], out[i] + logs[ids].sum(axis=0))
+    return out
+
+
+def odd_words():
+    rng = np.random.default_rng(7)
+    letters = ("abcdefghij", "ሀለሐመ", "\U0001f600\U0001f601€", "thequickéü")
+    return ["▁" + "".join(rng.choice(list(a), n)) for n in range(1, 60) for a in letters]
+
+
+def test_words_of_any_length_and_spelling_keep_their_probability():
+    vocab = langid.Vocabulary.of(None)
+    p = np.random.default_rng(0).random((vocab.size + 1, 3)) ** 6 + 1e-9
+    p[-1] = 0
+    p /= p.sum(axis=0)
+    words = odd_words()
+    with np.errstate(divide="ignore"):
+        logs = np.log(p)
+    want = np.array([forward(plain_arcs(vocab, w), len(w), logs)[-1] for w in words])
+    assert want.min() < -800
+    assert np.allclose(langid.score_words(vocab, words, p), want, rtol=1e-9)
+    assert np.allclose([langid._score_long(vocab, w, p) for w in words], want, rtol=1e-9)
+    flat = np.full(vocab.size + 1, 1 / vocab.size)
+    flat[-1] = 0
+    for w in words:
+        long = np.zeros(vocab.size + 1)
+        langid._expect_long(vocab, w, 3.0, flat[:, None], long)
+        assert np.allclose(langid.expect(vocab, [w], np.array([3.0]), flat), long[:-1], rtol=1e-6, atol=1e-9)
+
+
+def test_signs_that_are_no_letters():
+    assert not any(map(langid.has_letter, (None, "", "½ ²", "Ⅷ 1", "__ 12 !", "٣ ५")))
+    assert all(map(langid.has_letter, ("a", "½ x", "語", "ª", "_é")))
+
+
+def test_whole_predictions_against_brute_force(spark):
+    rows = [("the cat sat on the mat", "en"), ("a dog and the cat", "en"), ("le chat est sur le tapis", "fr"), ("un chien et le chat", "fr"), ("ሀለሐ መሠ", "am"), ("x", None), (None, "fr"), ("", "en")]
+    asked = ["the mat", "le tapis est", "ሐመሠለሀ" * 6, "½ ²", None, "", "chat " * 40 + "the", "qqq www"]
+    vocab = langid.Vocabulary.of(None)
+    flat = np.full((vocab.size + 1, 1), -math.log(vocab.size))
+    langs = sorted({k for _, k in rows if k})
+    counts = {k: np.zeros(vocab.size) for k in langs}
+    for text, lang in rows:
+        for w in (text or "").split() if lang else []:
+            word = "▁" + w
+            ahead = forward(plain_arcs(vocab, word), len(word), flat)[:, 0]
+            mirrored = sorted(((len(word) - j, len(word) - i, ids) for i, j, ids in plain_arcs(vocab, word)), key=lambda x: x[0])
+            behind = forward(mirrored, len(word), flat)[::-1, 0]
+            for i, j, ids in plain_arcs(vocab, word):
+                for k in ids:
+                    counts[lang][k] += math.exp(ahead[i] + flat[ids].sum() + behind[j] - ahead[-1])
+    logs = np.log(np.stack([(c + langid.SMOOTHING) / (c + langid.SMOOTHING).sum() for c in counts.values()], axis=1))
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    got = langid.predict(spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string"), langid.train(df)).collect()
+    for r in got:
+        if not r["text"] or not any(c.isalpha() for c in r["text"]):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        total = sum(forward(plain_arcs(vocab, "▁" + w), len(w) + 1, logs)[-1] for w in r["text"].split())
+        share = np.exp(total - total.max())
+        assert r["lang_pred"] == langs[int(total.argmax())]
+        assert abs(r["score"] - share.max() / share.sum()) < 1e-5

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -20,8 +22,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and make sure there is a checkpoint folder.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; only where that is unset (tests, a
-    laptop) is a temporary one made.
+    The cluster names the folder in ``spark.checkpoint.dir``; only where that is unset and the
+    master is local (tests, a laptop) is a temporary one made.
     """
     sc = spark.sparkContext
     known = sc.environment.get("PYTHONPATH", "")
@@ -29,6 +31,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-"))
     return spark
 
@@ -78,3 +82,10 @@ def words_of(text: Column) -> Column:
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def whole_ids(df: DataFrame, doc_id: str) -> None:
+    """Raises a TypeError unless the ids are whole numbers (or a column of nulls)."""
+    kind = df.schema[doc_id].dataType
+    if not isinstance(kind, IntegralType | NullType):
+        raise TypeError(f"{doc_id} is {kind.simpleString()}: ids must be whole numbers")

@@ -1,7 +1,8 @@
 """Taking numbered parts out of texts, shared by the line and the sentence operators.
 
 A row is known by its id and a hash of its text, so rows that repeat an id keep apart, and rows that
-repeat both are one document. Parts of such a document are never repeats of one another's.
+repeat both are one document. Parts of such a document are never repeats of one another's. The hash's
+last bit says that the id is null, which stands behind all others.
 """
 
 from __future__ import annotations
@@ -10,19 +11,33 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, whole_ids
 
 #: Stands for a null id in the order of ids: last.
 LAST = np.iinfo(np.int64).max
 SCHEMA = "h long, doc long, k long, a int, b int, sure boolean"
 
 
+def identity(doc_id: str, whole: Column) -> tuple[Column, Column]:
+    """The id as a long with null last, and the hash that tells rows of one id apart; its last bit marks a null id."""
+    flag = F.col(doc_id).isNull().cast("long")
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))), F.xxhash64(whole).bitwiseAND(F.lit(-2)).bitwiseOR(flag)
+
+
+def id_of(doc: str, k: str, kind: str) -> Column:
+    """The id again."""
+    return F.when(F.col(k).bitwiseAND(F.lit(1)) == 0, F.col(doc)).cast(kind)
+
+
 def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, k, text): the id as a long with null last, the hash that tells rows of one id apart."""
-    return df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """(doc, k, text) by identity()."""
+    whole_ids(df, doc_id)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    doc, k = identity(doc_id, whole)
+    return df.select(doc.alias("doc"), k.alias("k"), whole.alias("text"))
 
 
 def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
@@ -46,13 +61,13 @@ def gathered(found: DataFrame, doc_id: str = "doc") -> DataFrame:
 def applied(df: DataFrame, found: DataFrame, doc_id: str, text: str, split: Callable[[str], list[str]], total: str, removed: str) -> DataFrame:
     """``df`` with the parts taken out of its texts, and the counts of parts and of removed parts.
 
-    The rows keep all their columns; a null text stays null with counts 0.
+    The rows keep all their columns but those named like the counts, which are replaced; a null
+    text stays null with counts 0.
     """
-    ours = ["_doc", "_k", "_parts"]
     df = df.drop(total, removed)
-    left = df.withColumns({"_doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))), "_k": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    right = gathered(found).select(F.col("doc").alias("_doc"), F.col("k").alias("_k"), F.col("parts").alias("_parts"))
-    joined = left.join(right, ["_doc", "_k"], "left").select(*df.columns, "_parts")
+    doc, k = identity(doc_id, F.coalesce(F.col(text), F.lit("")))
+    whole = df.select(F.struct(*df.columns).alias("row"), doc.alias("doc"), k.alias("k"))
+    joined = whole.join(gathered(found), ["doc", "k"], "left").select("row.*", "parts")
 
     def run(batches):
         for batch in batches:

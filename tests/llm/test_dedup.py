@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from quire.llm import linetree, spans
 
@@ -185,3 +186,19 @@ def test_long_lines_that_recur_word_for_word_go_from_the_second_document_on(spar
     want[4] = want[4].replace(same + "\n", "")
     want[9], want[21] = "", "乙\n"
     assert got == want
+
+
+def test_clashing_names_and_ids_at_the_edge(spark):
+    line = "Subscribe to our weekly letter and never miss a story again.\n"
+    text = line + "one two three four five six seven eight nine ten eleven twelve thirteen. " * 3
+    rows = [(1, text), (2**63 - 1, text), (None, text), (2**63 - 1, text), (-4, text)]
+    names = ["parts", "row", "doc", "k", "h", "i", "_k", "n_lines"]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], f"doc_id long, text string, {', '.join(f'`{n}` int' for n in names)}")
+    for module, count in ((linetree, "n_dropped"), (spans, "n_removed")):
+        got = module.dedup(df).collect()
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r[count] > 0) for r in got) == [(False, -4, module is spans), (False, 1, True), (False, 2**63 - 1, True), (False, 2**63 - 1, True), (True, 0, True)]
+        assert all([r[n] for n in names[:-1]] == list(range(len(names) - 1)) for r in got)
+        kept = {r["text"] for r in got if r["doc_id"] == -4}
+        assert len(kept) == 1 and line in kept.pop()
+        with pytest.raises(TypeError, match="whole numbers"):
+            module.dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))

@@ -99,10 +99,89 @@ def test_likeness_is_about_what_two_texts_share():
     assert syncmers.likeness(fa, fa) == 1 and syncmers.likeness(fa, fb) < 0.1
     assert 0.3 < syncmers.likeness(fa, fe) < 0.75
     assert syncmers.likeness("", "") == 1 and syncmers.likeness(fa, "") == 0
+    short = ["alpha beta gamma", "unrelated words!", "a", "", *("".join(rng.choices("abcdefgh ", k=rng.randint(16, 22))) for _ in range(200))]
+    prints = [syncmers.fingerprint(x) for x in short]
+    assert all(prints[:3]) and all(prints[4:]) and len(set(prints)) == len(set(short))
+    assert syncmers.likeness(prints[0], prints[1]) == syncmers.likeness(prints[0], "") == 0
     assert syncmers.fingerprint(None) == syncmers.fingerprint("") == ""
     assert len(base64.b64decode(syncmers.fingerprint("short"))) == 4
 
 
+def plain_print(text):
+    """A fingerprint by the words of the module's description: slow, and without its code but the two hashes."""
+    m, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def inner(x):
+        h = 0
+        for c in x:
+            h = (h * m + ord(c)) & mask
+        return mix(h)
+
+    first = {}
+    for i in slow_anchors(text):
+        h = 0
+        for j in (0, 5, 10):
+            h = mix((h + inner(text[i + j : i + j + 5])) & mask)
+        first.setdefault(mix((h + inner(text[i + 11 : i + 16])) & mask) >> 32, i)
+    if not first and text:
+        first = {int.from_bytes(hashlib.blake2b(text.encode(), digest_size=4).digest(), "little"): 0}
+    return sorted(sorted(first)[:64], key=first.get)
+
+
+def plain_likeness(x, y):
+    if x == y:
+        return 1.0
+    if not x or not y:
+        return 0.0
+    union = sorted({*x, *y})[:64]
+    a, b = ([v for v in z if v in x and v in y and v in union] for z in (x, y))
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, v in enumerate(a):
+        for j, w in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if v == w else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1] / len(union)
+
+
+def test_whole_query_against_a_plain_version(spark, tmp_path):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdeé\U0001f600", k=rng.randint(1, 7)))
+    docs = [(rng.choice([3 * i, 2**40 + i]), " ".join(word() for _ in range(rng.choice([0, 1, 3, 30, 400])))) for i in range(30)]
+    docs += [(2**62, docs[3][1]), (-5, None), (2**63 - 1, "x" * 40)]
+    spark.createDataFrame([(d, t, "en", "s", 0) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    order = sorted(docs, reverse=True, key=lambda x: x[0])
+    want = {}
+    for i, (d, t) in enumerate(order):
+        t, following = t or "", order[(i + 1) % len(order)][1] or ""
+        changed = t[: len(t) - len(t) // 3] + following[: len(t) // 3]
+        own, new, after = map(plain_print, (t, changed, following))
+        want[d] = (len(t), hashlib.sha256(changed.encode()).hexdigest(), own, new, plain_likeness(own, new), plain_likeness(own, after))
+    shown = lambda v: np.frombuffer(base64.b64decode(v), "<u4").tolist()
+    got = {r["doc_id"]: (r["n_chars"], r["edited_sha256"], shown(r["fingerprint"]), shown(r["edited_fingerprint"]), r["near_edited"], r["near_next"]) for r in syncmers.op9_syncmer_fingerprints(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
+def test_one_far_id_does_not_gather_all_others(spark):
+    df = spark.createDataFrame([(i, "t") for i in range(400)] + [(2**60, "t")], "doc_id long, text string")
+    sizes = [r["count"] for r in syncmers._dealt(df, "doc_id").groupBy("_part").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) < 100
+
+
+def test_all_anchors_with_their_places(spark):
+    rng = random.Random(2)
+    text = "".join(rng.choices("abc é", k=500))
+    df = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, "short", 0)], "doc_id long, text string, places int")
+    got = {r["doc_id"]: r for r in syncmers.positions(df).collect()}
+    assert got[1]["places"] == slow_anchors(text) and len(got[1]["hashes"]) == len(got[1]["places"])
+    assert got[2]["places"] == [] and got[3]["places"] == [0]
+    with pytest.raises(TypeError, match="whole numbers"):
+        syncmers.fingerprints(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 90])
 def test_fingerprints_follow_falling_ids(spark, n):
     rng = random.Random(n)

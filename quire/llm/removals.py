@@ -66,14 +66,16 @@ def applied(df: DataFrame, found: DataFrame, doc_id: str, text: str, split: Call
     """
     df = df.drop(total, removed)
     doc, k = identity(doc_id, F.coalesce(F.col(text), F.lit("")))
-    whole = df.select(F.struct(*df.columns).alias("row"), doc.alias("doc"), k.alias("k"))
-    joined = whole.join(gathered(found), ["doc", "k"], "left").select("row.*", "parts")
+    names = df.columns
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), doc.alias("doc"), k.alias("k"))
+    joined = whole.join(gathered(found), ["doc", "k"], "left").select("row", "parts")
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index(text)
+            row = batch.column(0)
+            at, columns = row.type.get_field_index(text), row.flatten()
             out, n, gone = [], [], []
-            for t, parts in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
+            for t, parts in zip(columns[at], batch.column(1), strict=True):
                 t, parts = t.as_py(), parts.as_py() or ()
                 pieces = split(t) if t else []
                 n.append(len(pieces))
@@ -82,9 +84,7 @@ def applied(df: DataFrame, found: DataFrame, doc_id: str, text: str, split: Call
                     drop = set(parts)
                     t = "".join(p for i, p in enumerate(pieces) if i not in drop)
                 out.append(t)
-            columns = batch.columns[:-1]
             columns[at] = pa.array(out, pa.string())
-            names = batch.schema.names[:-1]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*names, total, removed])
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"{total} long", f"{removed} long"])

@@ -1,14 +1,17 @@
 """WARC records in ZIP-packaged archives, read by range.
 
-An archive is a ZIP file with two stored members: ``archive/data.warc.gz``, in which every record is
-a gzip member of its own, and ``indexes/index.cdx``, with a JSON line per record. The reader parses
-the ZIP's (or ZIP64's) central directory, finds where the stored members begin, and reads single
-records by their offsets; nothing is extracted.
+An archive is a ZIP file whose members are stored: WARC files under ``archive/``, in which every
+record of a ``.warc.gz`` is a gzip member of its own, and under ``indexes/`` lines that tell where
+records are. The reader parses the ZIP's (or ZIP64's) central directory, finds where the stored
+members begin, and reads single records by their offsets; nothing is extracted. Index lines may be
+JSON, CDXJ (key, time, JSON) or CDX with a line of field letters; WARC files that no index names are
+walked record by record. The writer makes one WARC file and one index of JSON lines an archive.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import re
@@ -22,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, prepare, table, written
+from .common import new_folder, prepare, table, whole_ids, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: Equal payloads from this size on are stored once.
@@ -31,6 +34,8 @@ REVISIT_FROM = 1000
 ARCHIVE_RECORDS, ARCHIVE_BYTES = 20_000, 1 << 28
 #: Records that one task reads at a time.
 BLOCK = 256
+#: Records that the reader returns.
+TYPES = ("response", "revisit", "resource")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -78,9 +83,16 @@ def parse(data: bytes) -> dict:
     block = rest[: int(fields["content-length"])]
     if len(block) != int(fields["content-length"]):
         raise ValueError("a record is shorter than its Content-Length")
-    http, _, payload = block.partition(b"\r\n\r\n")
+    http, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
     length = re.search(rb"(?im)^content-length:\s*(\d+)", http)
-    return {"fields": fields, "block": block, "payload": payload, "payload_bytes": int(length[1]) if length else len(payload)}
+    chunked = re.search(rb"(?im)^transfer-encoding:.*chunked", http) is not None
+    told = int(length[1]) if length else None if fields.get("warc-type") == "revisit" else len(payload)
+    return {"fields": fields, "block": block, "payload": payload, "payload_bytes": told, "chunked": chunked}
+
+
+def plain(data: bytes) -> bytes:
+    """A record's bytes, out of its gzip member if it has one."""
+    return zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
 
 
 # Archives
@@ -141,8 +153,8 @@ class Members:
         return offset + 30 + n + extra, length
 
 
-def _walk(members: Members, start: int, length: int):
-    """(offset, length) of each gzip member, for an archive without an index."""
+def _walk_gzip(members: Members, start: int, length: int):
+    """(offset, length) of each gzip member."""
     at = 0
     while at < length:
         z, used = zlib.decompressobj(31), 0
@@ -157,23 +169,81 @@ def _walk(members: Members, start: int, length: int):
         at += used
 
 
-def locate(file) -> tuple[int, list[tuple[int, int]]]:
-    """Where the data member begins, and (offset, length) of its records, by the index if there is one."""
+def _walk_plain(members: Members, start: int, length: int):
+    """(offset, length) of each record that isn't compressed, by the lengths in their heads."""
+    at = 0
+    while at < length:
+        head = b""
+        while b"\r\n\r\n" not in head:
+            part = members.read(start + at + len(head), min(1 << 12, length - at - len(head)))
+            if not part:
+                raise ValueError("a record ends too early")
+            head += part
+        told = re.search(rb"(?im)^content-length:\s*(\d+)", head.partition(b"\r\n\r\n")[0])
+        if told is None:
+            raise ValueError("a record without Content-Length")
+        used = head.index(b"\r\n\r\n") + 4 + int(told[1]) + 4
+        if at + used > length:
+            raise ValueError("a record ends too early")
+        yield at, used
+        at += used
+
+
+def index_entries(lines: list[str]):
+    """(WARC file or None, offset, length or None) of index lines in any of the three forms; others are passed over."""
+    letters = None
+    for line in lines:
+        if line[:5].strip() == "CDX":
+            letters = line.split()[1:]
+        elif (at := line.find("{")) >= 0:
+            x = json.loads(line[at:])
+            if "offset" in x:
+                yield x.get("filename"), int(x["offset"]), int(x["length"]) if "length" in x else None
+        elif letters and len(fields := line.split()) == len(letters) and {"V", "g"} <= set(letters):
+            x = dict(zip(letters, fields, strict=True))
+            yield x["g"], int(x["V"]), int(x["S"]) if x.get("S", "-").isdigit() else None
+
+
+def locate(file) -> list[tuple[int, list[tuple[int, int]]]]:
+    """For each WARC file in the archive: where it begins, and (offset, length) of its records.
+
+    By the indexes, in the order of offsets and each record once; an entry without a file name is of
+    the only file. A file that no entry names, or whose entries lack lengths, is walked.
+    """
     members = Members(file)
-    start, length = members.stored(DATA)
-    if INDEX not in members.by_name:
-        return start, list(_walk(members, start, length))
-    lines = members.read(*members.stored(INDEX)).splitlines()
-    return start, [(x["offset"], x["length"]) for x in map(json.loads, lines)]
+    data = sorted(n for n in members.by_name if n.startswith("archive/") and n.endswith((".warc", ".warc.gz")))
+    if not data:
+        raise ValueError("no WARC file in the archive")
+    short = {n.removeprefix("archive/"): n for n in data}
+    told: dict[str, set] = {n: set() for n in data}
+    for name in sorted(members.by_name):
+        if not name.startswith("indexes/") or name.endswith("/"):
+            continue
+        raw = members.read(*members.stored(name))
+        raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+        for named, offset, length in index_entries(raw.decode("utf-8", "replace").splitlines()):
+            at = data[0] if named is None and len(data) == 1 else short.get((named or "").removeprefix("archive/"))
+            if at is not None:
+                told[at].add((offset, length))
+    out = []
+    for name in data:
+        start, length = members.stored(name)
+        places = told[name]
+        if not places or any(n is None for _, n in places):
+            walk = _walk_gzip if name.endswith(".gz") else _walk_plain
+            places = walk(members, start, length)
+        out.append((start, sorted(places)))
+    return out
 
 
 def write(df: DataFrame, folder: str, records: int = ARCHIVE_RECORDS, size: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes rows (page_id, url, payload, payload_digest, refers_to) to archives in a shared folder.
 
-    Returns a table (path, records) of the archives. A task writes files of its own under new names,
+    Ids must be whole numbers (TypeError). Returns a table (path, records) of the archives. A task writes files of its own under new names,
     so a task that is run again after a loss leaves no half archive in the table. Null payloads are
     empty; a null url is named by the page.
     """
+    whole_ids(df, "page_id")
     store, path = _store(folder)
     store.create_dir(path, recursive=True)
 
@@ -218,9 +288,11 @@ def write(df: DataFrame, folder: str, records: int = ARCHIVE_RECORDS, size: int
 def read(archives: DataFrame, folder: str, payload: bool = False) -> DataFrame:
     """The records of archives (path): page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload].
 
-    An archive's records are dealt out in blocks of consecutive ones. A response's digest and length
-    are those of the payload that was read, which must agree with its header; a revisit has its
-    response's, and no payload. A broken archive raises an error.
+    An archive's records are dealt out in blocks of consecutive ones. Responses, resources and
+    revisits are returned, records about the crawl are not. A response's digest and length are those
+    of the payload that was read, which must agree with its header; a revisit has those that its
+    header tells, null where it tells none, and no payload. Records of other writers have a null
+    page_id, as their ids are no pages'. A broken archive raises an error.
     """
 
     def blocks(batches):
@@ -228,9 +300,8 @@ def read(archives: DataFrame, folder: str, payload: bool = False) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with store.open_input_file(path) as f:
-                    start, places = locate(f)
-                for i in range(0, len(places), BLOCK):
-                    own = places[i : i + BLOCK]
+                    found = locate(f)
+                for start, own in ((start, places[i : i + BLOCK]) for start, places in found for i in range(0, len(places), BLOCK)):
                     yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([start], pa.int64()), pa.array([[a for a, _ in own]], pa.list_(pa.int64())), pa.array([[b for _, b in own]], pa.list_(pa.int64()))], ["path", "start", "offsets", "lengths"])
 
     def records(batches):
@@ -241,8 +312,9 @@ def read(archives: DataFrame, folder: str, payload: bool = False) -> DataFrame:
                 with store.open_input_file(path) as f:
                     for at, n in zip(offsets, lengths, strict=True):
                         f.seek(start + at)
-                        x = parse(zlib.decompress(f.read(n), 31))
-                        rows.append(_told(x, payload))
+                        x = parse(plain(f.read(n)))
+                        if x["fields"].get("warc-type") in TYPES:
+                            rows.append(_told(x, payload))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
     kinds = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * payload
@@ -251,14 +323,30 @@ def read(archives: DataFrame, folder: str, payload: bool = False) -> DataFrame:
     return listed.repartition(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(records, ddl)
 
 
+def _page(name: str | None):
+    found = re.fullmatch(r"<urn:x-page:(-?\d+)>", name or "")
+    return int(found[1]) if found else None
+
+
+def _sha1(value: str | None) -> str | None:
+    """The hex form of a digest that a header gives in base 32 or 16; None where it isn't SHA-1."""
+    kind, _, digest = (value or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return digest.lower() if re.fullmatch("[0-9a-fA-F]{40}", digest) else base64.b32decode(digest.upper()).hex()
+
+
 def _told(x: dict, payload: bool) -> tuple:
     fields = x["fields"]
-    number = lambda v: int(v.removeprefix("<urn:x-page:").removesuffix(">") or -1) if v and v != "<urn:x-page:>" else None
-    digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
+    digest = _sha1(fields.get("warc-payload-digest"))
     revisit = fields["warc-type"] == "revisit"
-    if not revisit and (hashlib.sha1(x["payload"]).hexdigest() != digest or len(x["payload"]) != x["payload_bytes"]):
-        raise ValueError("a payload differs from its digest")
-    return (number(fields["warc-record-id"]), fields.get("warc-target-uri"), x["payload_bytes"], digest, fields["warc-type"], number(fields.get("warc-refers-to")), *([None if revisit else x["payload"]] if payload else []))
+    size = x["payload_bytes"]
+    if not revisit:
+        own, size = hashlib.sha1(x["payload"]).hexdigest(), len(x["payload"])
+        if digest not in (None, own) or (not x["chunked"] and size != x["payload_bytes"]):
+            raise ValueError("a payload differs from its digest")
+        digest = own
+    return (_page(fields.get("warc-record-id")), fields.get("warc-target-uri"), size, digest, fields["warc-type"], _page(fields.get("warc-refers-to")), *([None if revisit else x["payload"]] if payload else []))
 
 
 def deduplicated(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:

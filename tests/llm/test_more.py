@@ -225,7 +225,7 @@ def test_ranges_of_stored_members_with_and_without_an_index():
     records = [warc.record(i, f"http://a/{i}", b, hashlib.sha1(b).hexdigest()) for i, b in enumerate(bodies)]
     for index in (True, False):
         data = archive(records, index=index)
-        start, places = warc.locate(Bytes(data))
+        ((start, places),) = warc.locate(Bytes(data))
         got = [warc.parse(warc.zlib.decompress(data[start + a : start + a + n], 31)) for a, n in places]
         assert [x["payload"] for x in got] == bodies
         assert [x["fields"]["warc-target-uri"] for x in got] == [f"http://a/{i}" for i in range(3)]
@@ -242,7 +242,7 @@ def test_zip64_directories(monkeypatch):
     body = bytes(200)
     data = archive([warc.record(1, None, body, hashlib.sha1(body).hexdigest())])
     assert b"PK\x06\x06" in data and b"PK\x06\x07" in data
-    start, ((a, n),) = warc.locate(Bytes(data))
+    ((start, ((a, n),)),) = warc.locate(Bytes(data))
     assert warc.parse(warc.zlib.decompress(data[start + a : start + a + n], 31))["payload"] == body
 
 
@@ -265,6 +265,40 @@ def test_archives_round_trip_on_odd_pages(spark):
     assert warc.read(warc.write(warc.deduplicated(df.limit(0)), empty), empty).count() == 0
 
 
+def foreign(kind, url, payload, head=b"HTTP/1.1 200 OK\r\n\r\n", **fields):
+    """A record as other writers make it, put together by hand."""
+    block = head + payload
+    more = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items())
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{len(url)}-{kind}>\r\nWARC-Target-URI: {url}\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    one = [foreign("warcinfo", "", b"software: x", b""), foreign("response", "http://a/1", b"first", WARC_Payload_Digest=sha(b"first")), foreign("request", "http://a/1", b"", b"GET / HTTP/1.1\r\n\r\n")]
+    two = [foreign("response", "http://a/2", b"5\r\nhello\r\n0\r\n\r\n", b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\nTransfer-Encoding: chunked\r\n\r\n"), foreign("resource", "urn:3", b"plain \r\n\r\n bytes", b"")]
+    three = [foreign("response", "http://a/4", b"fourth"), foreign("revisit", "http://a/5", b"", WARC_Payload_Digest="sha1:" + hashlib.sha1(b"first").hexdigest())]
+    four = [foreign("response", "http://a/6", b"sixth"), foreign("response", "http://a/7", b"seventh")]
+    gz = lambda records: [warc.gzip.compress(r) for r in records]
+    at = lambda parts: list(np.cumsum([0, *map(len, parts)]))
+    a, c, d = gz(one), gz(three), gz(four)
+    cdxj = f'a)/1 20200101000000 {{"url": "http://a/1", "filename": "rec-1.warc.gz", "offset": "{at(a)[1]}", "length": "{len(a[1])}"}}\n'
+    cdx = " CDX N b a m s k r M S V g\n" + "".join(f"a)/{i} 20200101 http://a/{i} text/html 200 X - - {len(x)} {p} nested/rec-3.warc.gz\n" for i, (x, p) in enumerate(zip(c, at(c), strict=False)))
+    with zipfile.ZipFile(tmp_path / "x.wacz", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("archive/rec-1.warc.gz", b"".join(a))
+        z.writestr("archive/rec-2.warc", b"".join(two))
+        z.writestr("archive/nested/rec-3.warc.gz", b"".join(c))
+        z.writestr("archive/rec-4.warc.gz", b"".join(d))
+        z.writestr("archive/readme.txt", "no records")
+        z.writestr("indexes/index.cdxj", cdxj)
+        z.writestr("indexes/other.cdx.gz", warc.gzip.compress(cdx.encode()))
+        z.writestr("indexes/four.cdxj", '!meta 0 {"format": "x"}\na)/6 2020 {"filename": "rec-4.warc.gz", "offset": 0}\n')
+    got = {r["url"]: r for r in warc.read(spark.createDataFrame([(str(tmp_path / "x.wacz"),)], "path string"), str(tmp_path), payload=True).collect()}
+    bodies = {"http://a/1": b"first", "http://a/2": b"5\r\nhello\r\n0\r\n\r\n", "urn:3": b"plain \r\n\r\n bytes", "http://a/4": b"fourth", "http://a/5": None, "http://a/6": b"sixth", "http://a/7": b"seventh"}
+    assert {u: None if r["payload"] is None else bytes(r["payload"]) for u, r in got.items()} == bodies
+    assert all(r["payload_digest"] == hashlib.sha1(bodies[u] or b"first").hexdigest() and r["page_id"] is None for u, r in got.items())
+    assert got["http://a/5"]["record_type"] == "revisit" and got["http://a/5"]["payload_bytes"] is None and got["urn:3"]["record_type"] == "resource"
+
+
 def test_a_changed_payload_is_noticed():
     body = b"x" * 50
     data = warc.record(1, "u", body, hashlib.sha1(body).hexdigest()).replace(b"xxx", b"xyx", 1)

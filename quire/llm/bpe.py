@@ -199,6 +199,33 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", offsets: str | N
     return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), ddl]))
 
 
+_COUNTERS: dict = {}
+
+
+def _counter(path: str):
+    """The tiktoken library's encoder of a rank file: several times faster where only counts are asked for."""
+    if path not in _COUNTERS:
+        import tiktoken
+
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, Path(path).read_bytes().splitlines())}
+        _COUNTERS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return _COUNTERS[path]
+
+
+def counts(df: DataFrame, text: str = "text", out: str = "n_tokens", path: str | None = None) -> DataFrame:
+    """Replaces ``text`` by the number of ids that encode() gives it; 0 for null and empty texts. Other columns stay."""
+    prepare(df.sparkSession)
+    others = [f for f in df.schema if f.name not in (text, out)]
+
+    def run(batches):
+        count = _counter(path or public_tokenizers.path(RANKS))
+        for batch in batches:
+            n = [len(count(t.as_py() or "")) for t in batch.column(batch.schema.get_field_index(text))]
+            yield _with(batch.select([f.name for f in others]), **{out: pa.array(n, pa.int64())})
+
+    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), f"{out} long"]))
+
+
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
     """Replaces the ids by the bytes they stand for (binary; a null array gives no bytes).
 

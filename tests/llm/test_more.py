@@ -4,14 +4,17 @@ import io
 import itertools
 import random
 import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
+import tiktoken
 from pyarrow import fs
 
 import corpus_pipeline
-from quire.llm import packing, syncmers, warc
+from quire.llm import bpe, packing, syncmers, warc
 from quire.llm.common import new_folder
 
 
@@ -33,11 +36,11 @@ def test_bucket_ends_are_optimal():
 
 
 def test_batches_hold_the_budget_and_every_token(spark, monkeypatch):
-    monkeypatch.setattr(packing, "TOGETHER", 20)
+    monkeypatch.setattr(packing, "TOGETHER", 4)
     rng = random.Random(2)
     docs = [(i, " ".join("w" * rng.randint(0, 90)), "x") for i in range(150)] + [(1, "a b", "x"), (1, "a b", "x"), (None, None, "x"), (7, "", "x")]
-    df = spark.createDataFrame(docs, "doc_id long, text string, slot string")
-    rows = packing.pack(df, max_len=32, buckets=4, budget=100).collect()
+    df = spark.createDataFrame([(*d, len((d[1] or "").split()) or None) for d in docs], "doc_id long, text string, slot string, n int")
+    rows = packing.pack(df, length="n", max_len=32, buckets=4, budget=100).collect()
     assert sum(r["n_tokens"] for r in rows) == sum(len((t or "").split()) for _, t, _ in docs)
     batches = {}
     for r in rows:
@@ -54,6 +57,43 @@ def test_batches_hold_the_budget_and_every_token(spark, monkeypatch):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_whole_packing_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TOGETHER", 1000)
+    rng = random.Random(3)
+    docs = [(i if i % 9 else None, rng.choice(["", " ", "a", "été "]) + " ".join(rng.choices(["cat", "Straße", "日本語", "12.5", "\n\n", "supercalifragilistic"], k=rng.choice([0, 1, 5, 40])))) for i in range(60)]
+    docs += [(4, "one two")] * 7 + [(5, None)]
+    library = bpe_library()
+    lengths = [len(library.encode_ordinary(t or "")) for _, t in docs]
+    pieces = []
+    for (d, t), n in zip(docs, lengths, strict=True):
+        pieces += [(d, s, 24 * s, min(24, n - 24 * s), t) for s in range(max(1, -(-n // 24)))]
+    histogram = {n: sum(p[3] == n for p in pieces) for n in {p[3] for p in pieces} - {0}}
+    best = min((padding(histogram, c), c) for r in (1, 2, 3) for c in itertools.combinations(sorted(histogram), r) if c[-1] == max(histogram))
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), max_len=24, buckets=3, budget=70).collect()
+    ends = sorted({r["bucket_len"] for r in rows} - {None})
+    assert padding(histogram, ends) == best[0]
+    want = [(d, s, a, 0, None, None, None) for d, s, a, n, _ in pieces if not n]
+    for e in ends:
+        held = [p for p in pieces if p[3] and min(x for x in ends if x >= p[3]) == e]
+        parts = -(-len(held) // (packing.TOGETHER * (70 // e)))
+        assert parts == 1
+        held.sort(key=lambda p: (p[0] is not None, p[0] or 0, p[1]))
+        for i in range(len(held)):
+            tied = sorted({p[3] for p in held if p[:2] == held[i][:2]})
+            want.append((*held[i][:3], tied, e, f"{e}-0-{i // (70 // e)}", i % (70 // e)))
+    got = sorted(map(tuple, rows), key=lambda r: (r[4] or 0, r[5] or "", r[6] or 0, repr(r)))
+    want.sort(key=lambda r: (r[4] or 0, r[5] or "", r[6] or 0, repr(r)))
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):  # rows of one id stand in the order of a hash
+        assert (*g[:3], *g[4:]) == (*w[:3], *w[4:]) and (g[3] in w[3] if w[3] else not g[3])
+    assert sorted((r[0] is None, r[0] or 0, *r[1:4]) for r in got) == sorted((p[0] is None, p[0] or 0, *p[1:4]) for p in pieces)
+
+
+def bpe_library():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(public_tokenizers.path(bpe.RANKS)).read_bytes().splitlines())}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 # Fingerprints
 
 
@@ -320,8 +360,9 @@ def test_pipeline_stage_by_stage(spark, sf):
             assert after.count() == before.count()
         before = after
     last = corpus_pipeline.STAGES[-1][1](spark, before, sf)
-    words = sum(len((r["text"] or "").encode().split()) for r in before.select("text").collect())
-    assert last.agg({"n_tokens": "sum"}).first()[0] == words
+    library = bpe_library()
+    tokens = sum(len(library.encode_ordinary(r["text"] or "")) for r in before.select("text").collect())
+    assert last.agg({"n_tokens": "sum"}).first()[0] == tokens
     assert last.select("doc_id").distinct().count() == before.count()
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect()), key=repr) == sorted(map(tuple, last.collect()), key=repr)
 

@@ -31,6 +31,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 #: Letters of scripts that don't put spaces between words; each stands for a word.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]")
 _CACHE = 500_000
+#: Templates of a leaf that are all compared; more are looked up by an index.
+SCANNED = 64
 
 
 def split_lines(text: str) -> list[str]:
@@ -66,21 +68,38 @@ def tokens(line: str) -> list[str]:
 
 
 class Codes(dict):
-    """16-bit hashes of tokens, 1 at least; 0 is a variable field."""
+    """32-bit hashes of tokens, 1 at least; 0 is a variable field."""
 
     def __init__(self):
         super().__init__({FIELD: 0})
 
     def __missing__(self, token: str) -> int:
-        self[token] = code = xxhash.xxh32_intdigest(token) % 65_535 + 1
+        self[token] = code = xxhash.xxh32_intdigest(token) or 1
         return code
 
 
 class Leaf:
-    """The templates of one leaf, each an array of 16-bit token hashes; 0 is a variable field."""
+    """The templates of one leaf, each an array of 32-bit token hashes; 0 is a variable field.
+
+    A leaf of many templates keeps an index by place and token. Of a line's c constant tokens a
+    template must share ``need``, so it shares one of any c - need + 1: the rarest are looked up, and
+    only what they name is compared.
+    """
 
     def __init__(self, alike: float, depth: int = DEPTH):
-        self.alike, self.depth, self.n, self.at = alike, depth, 0, np.zeros((4, 0), np.uint16)
+        self.alike, self.depth, self.n, self.at = alike, depth, 0, np.zeros((4, 0), np.uint32)
+        self.index: dict[tuple[int, int], list[int]] = {}
+        self.indexed = 0
+
+    def _candidates(self, tail: np.ndarray, need: int) -> np.ndarray:
+        for t in range(self.indexed, self.n):
+            for i, code in enumerate(self.at[t, self.depth :].tolist()):
+                if code:
+                    self.index.setdefault((i, code), []).append(t)
+        self.indexed = self.n
+        lists = sorted((self.index.get((i, code), ()) for i, code in enumerate(tail.tolist()) if code), key=len)
+        lists = lists[: max(0, len(lists) - need + 1)]
+        return np.array(sorted(set().union(*lists)), np.int64)
 
     def place(self, line: np.ndarray) -> int:
         """The template that the line joins: the most alike one, the first of several, or a new one.
@@ -88,13 +107,16 @@ class Leaf:
         Only constant tokens behind the leading ones count, which all lines of a leaf share.
         """
         if not self.n:
-            self.at = np.zeros((4, len(line)), np.uint16)
+            self.at = np.zeros((4, len(line)), np.uint32)
         tail = line[self.depth :]
         if self.n and len(tail):
-            same = ((self.at[: self.n, self.depth :] == tail) & (tail != 0)).sum(axis=1)
-            best = int(same.argmax())
-            if same[best] >= self.alike * len(tail):
-                return best
+            need = int(np.ceil(self.alike * len(tail) - 1e-9))
+            at = self._candidates(tail, need) if self.n > SCANNED else np.arange(self.n)
+            if len(at):
+                same = ((self.at[at, self.depth :] == tail) & (tail != 0)).sum(axis=1)
+                best = int(same.argmax())
+                if same[best] >= need:
+                    return int(at[best])
         if self.n == len(self.at):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
         self.at[self.n] = line
@@ -125,7 +147,7 @@ def _rows(batches, depth, documents):
                 entry = seen.get(h)
                 if entry is None:
                     leaf = xxhash.xxh3_64_intdigest(f"{len(own)} " + " ".join(own[:depth]))
-                    entry = seen[h] = [leaf, np.fromiter(map(known.__getitem__, own), np.uint16, len(own)).tobytes(), []]
+                    entry = seen[h] = [leaf, np.fromiter(map(known.__getitem__, own), np.uint32, len(own)).tobytes(), []]
                 entry[2].append((d, key, i, x))
         out = []
         for h, (leaf, sig, places) in seen.items():
@@ -179,7 +201,7 @@ def _recurring(batches, depth, alike, documents):
                 out += _copies(templates)
                 leaf_id, leaf, templates, last = lf, Leaf(alike, depth), [], None
             if h != last:
-                last, t = h, leaf.place(np.frombuffer(sig, np.uint16))
+                last, t = h, leaf.place(np.frombuffer(sig, np.uint32))
                 if t == len(templates):
                     templates.append(_Template())
                 current = templates[t]

@@ -1,13 +1,16 @@
 """Removal of long byte strings that occur elsewhere, by sorting suffixes.
 
-Every string of LENGTH bytes has an anchor among its first GAP + 1 places, chosen by its bytes alone
+Every string of ``least`` bytes has an anchor among its first GAP + 1 places, chosen by its bytes alone
 (the smallest hash of 16 bytes). Occurrences of one string therefore share an anchor and the
-LENGTH - GAP bytes behind it, and meet under the hash of those. Equal surroundings settle most of
-them. Where surroundings differ, the suffixes behind the anchors, and the reversed prefixes before
-them, are merge-sorted: two are compared by binary search for their common extension over prefix
-polynomial hashes, so a comparison takes a logarithm of their length, and neighbours are checked
-byte by byte against collisions. The sorted order tells for each place whether a whole string that
-covers it occurs elsewhere.
+bytes behind it up to ``least`` - GAP, and meet under the hash of those. Anchors whose whole surroundings
+are equal stand for one another: in a batch after a comparison of their bytes, between batches by a
+128-bit digest of them. Where surroundings differ, the suffixes behind the anchors, and the reversed
+prefixes before them, are merge-sorted: two are compared by binary search for their common extension
+over prefix polynomial hashes, so a comparison takes a logarithm of their length, and neighbours are
+checked byte by byte against collisions. The sorted order tells for each place whether a whole string
+that covers it occurs elsewhere. A group of too many surroundings is halved first: a common string
+reaches at least half its way before the anchor, or the rest behind it, so it is found among those
+that are equal there.
 """
 
 from __future__ import annotations
@@ -20,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, table, written
-from .removals import LAST
+from .common import partitions, prepare, table, whole_ids, written
+from .removals import id_of, identity
 
-LENGTH = 400
+#: Bytes of the strings that go; of shorter ones that are counted besides: some fifty words.
+LENGTH, ALSO = 400, 250
 GRAM = 16
 #: Bytes of text that are scanned at once; longer texts are scanned in overlapping pieces.
 PIECE = 1 << 20
-#: Contexts that are sorted at once, but for larger groups.
+#: Contexts that are sorted at once; a group of more is halved.
 AT_ONCE = 8192
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -88,9 +92,9 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return _scramble(h)
 
 
-def _anchors(data: np.ndarray, start: np.ndarray, stop: np.ndarray, length: int) -> np.ndarray:
+def _anchors(data: np.ndarray, start: np.ndarray, stop: np.ndarray, least: int) -> np.ndarray:
     """Anchors of the strings that begin in [start, stop) of the buffer's pieces, once each."""
-    window = _gap(length) + 1
+    window = _gap(least) + 1
     h = _grams(data)
     if len(h) < window:
         return np.zeros(0, np.int64)
@@ -112,18 +116,20 @@ def _anchors(data: np.ndarray, start: np.ndarray, stop: np.ndarray, length: int)
 
 def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc, k, data): id with null last, a hash that tells rows of one id apart, the text's bytes."""
+    whole_ids(df, doc_id)
     whole = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    return df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias("doc"), F.xxhash64(whole).alias("k"), whole.alias("data"))
+    doc, k = identity(doc_id, whole)
+    return df.select(doc.alias("doc"), k.alias("k"), whole.alias("data"))
 
 
-def _pieces(batches, length):
+def _pieces(batches, length, least):
     """Lists of (doc, k, first byte of the piece, bytes, size of the text, range whose anchors count)."""
     held, size = [], 0
     for batch in batches:
         for doc, k, data in zip(*(batch.column(i) for i in range(3)), strict=True):
             doc, k, data = doc.as_py(), k.as_py(), data.as_py()
             n = len(data)
-            if n < length:
+            if n < least:
                 continue
             for c in range(0, n, PIECE):
                 to = min(n, c + PIECE)
@@ -152,24 +158,47 @@ def _merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return doc[new], a[new], reach[last]
 
 
-_MET = "h long, c long, doc long, k long, a long, l int, r int, n int, b long, sure boolean"
+_MET = "h long, c long, x long, doc long, k long, a long, l int, r int, n int, b long, sure boolean, whole boolean"
 
 
-def _met(batches, length):
-    """An anchor for each row: the hash h of the bytes behind it, c of all its surroundings, and their sizes l and r.
+def _equal_bytes(data: np.ndarray, i: np.ndarray, j: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from i and those from j are the same."""
+    out = np.ones(len(i), bool)
+    if not len(i):
+        return out
+    width = np.arange(int(size.max()))
+    for at in range(0, len(i), 4096):
+        own = slice(at, at + 4096)
+        inside = width < size[own, None]
+        x = data[np.where(inside, i[own, None] + width, 0)]
+        y = data[np.where(inside, j[own, None] + width, 0)]
+        out[own] = (x == y).all(axis=1)
+    return out
+
+
+def _digests(raw: memoryview, a: np.ndarray, l: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:  # noqa: E741
+    """128 bits for the bytes around each place, and for how many of them stand before it."""
+    of = hashlib.blake2b
+    both = b"".join(of(raw[p - x : p + y], digest_size=16, salt=x.to_bytes(4, "little") + y.to_bytes(4, "little")).digest() for p, x, y in zip(a.tolist(), l.tolist(), r.tolist(), strict=True))
+    return tuple(np.frombuffer(both, np.int64).reshape(-1, 2).T)
+
 
-    Surroundings that occur twice in a batch are settled here: their ranges come as sure rows, and
-    one of them goes on to meet other batches.
+def _met(batches, length, least):
+    """An anchor for each row: the hash h of the bytes behind it, the digest (c, x) of all its surroundings, and their sizes l and r.
+
+    Surroundings that occur twice in a batch are settled here: their ranges come as sure rows
+    (whole: of ``length`` bytes at least), and one of them goes on to meet other batches.
     """
-    gap = _gap(length)
-    for held in _pieces(batches, length):
-        data = np.frombuffer(b"".join(p[3] for p in held), np.uint8)
+    gap = _gap(least)
+    for held in _pieces(batches, length, least):
+        raw = b"".join(p[3] for p in held)
+        data = np.frombuffer(raw, np.uint8)
         sizes = np.array([len(p[3]) for p in held])
         at = np.cumsum(sizes) - sizes
         first, total, c, to = (np.array([p[i] for p in held], np.int64) for i in (2, 4, 5, 6))
         begin = at + np.maximum(0, c - gap) - first
-        end = at + np.minimum(to, total - length + 1) - first
-        a = _anchors(data, begin, end, length)
+        end = at + np.minimum(to, total - least + 1) - first
+        a = _anchors(data, begin, end, least)
         of = np.searchsorted(at, a, "right") - 1
         place = a - at[of] + first[of]
         ours = (place >= c[of]) & (place < to[of])
@@ -179,81 +208,107 @@ def _met(batches, length):
         l = np.minimum(gap, place)  # noqa: E741
         r = np.minimum(length, total[of] - place)
         one, two = Hashes(data, 0), Hashes(data, 1)
-        h = one.of(a, a + length - gap)
+        h = one.of(a, a + least - gap)
         ctx = two.of(a - l, a + r) ^ _scramble((l * 4096 + r).astype(np.uint64))
         doc, k = np.array([p[0] for p in held])[of], np.array([p[1] for p in held])[of]
         order = np.lexsort((ctx, h))
-        h, ctx, doc, k, place, l, r, of = (x[order] for x in (h, ctx, doc, k, place, l, r, of))  # noqa: E741
+        h, ctx, doc, k, place, l, r, of, a = (x[order] for x in (h, ctx, doc, k, place, l, r, of, a))  # noqa: E741
+        same = np.flatnonzero((h[1:] == h[:-1]) & (ctx[1:] == ctx[:-1]) & (l[1:] == l[:-1]) & (r[1:] == r[:-1]))
+        same = same[_equal_bytes(data, (a - l)[same], (a - l)[same + 1], (l + r)[same])]
         new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])
+        new[same + 1] = False
         group = np.cumsum(new) - 1
         n = np.bincount(group)
         twice = n[group] > 1
         _, ids = np.unique(np.stack([doc, k]), axis=1, return_inverse=True)
         ids = ids.reshape(-1)
-        md, ma, mb = _merged(ids[twice], (place - l)[twice], (place + r)[twice])
         where = np.zeros(int(ids.max()) + 1, np.int64)
         where[ids] = np.arange(len(ids))
-        z = len(md)
+        settled = []
+        for whole in (True, False):
+            own = twice & ((l + r >= length) == whole)
+            settled.append((*_merged(ids[own], (place - l)[own], (place + r)[own]), whole))
+        md, ma, mb = (np.concatenate([x[i] for x in settled]) for i in range(3))
+        mw = np.concatenate([np.full(len(x[0]), x[3]) for x in settled])
+        z, m = len(md), int(new.sum())
+        digest = _digests(memoryview(raw), a[new], l[new], r[new])
+        none, zero = np.zeros(z, np.int64), np.zeros(m, np.int64)
         columns = [
             np.concatenate([h[new].view(np.int64), md * 7919 + ma]),
-            np.concatenate([ctx[new].view(np.int64), np.zeros(z, np.int64)]),
+            np.concatenate([digest[0], none]),
+            np.concatenate([digest[1], none]),
             np.concatenate([doc[new], doc[where[md]]]),
             np.concatenate([k[new], k[where[md]]]),
             np.concatenate([place[new], ma]),
-            np.concatenate([l[new], np.zeros(z, np.int64)]).astype(np.int32),
-            np.concatenate([r[new], np.zeros(z, np.int64)]).astype(np.int32),
-            np.concatenate([np.minimum(n, 2), np.zeros(z, np.int64)]).astype(np.int32),
-            np.concatenate([np.zeros(int(new.sum()), np.int64), mb]),
-            np.concatenate([np.zeros(int(new.sum()), bool), np.ones(z, bool)]),
+            np.concatenate([l[new], none]).astype(np.int32),
+            np.concatenate([r[new], none]).astype(np.int32),
+            np.concatenate([np.minimum(n, 2), none]).astype(np.int32),
+            np.concatenate([zero, mb]),
+            np.concatenate([zero.astype(bool), np.ones(z, bool)]),
+            np.concatenate([zero.astype(bool), mw]),
         ]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "c", "doc", "k", "a", "l", "r", "n", "b", "sure"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "c", "x", "doc", "k", "a", "l", "r", "n", "b", "sure", "whole"])
 
 
-_SETTLED = "h long, doc long, k long, a long, b long, l int, r int, want boolean"
+_SETTLED = "h long, doc long, k long, a long, b long, whole boolean, want boolean"
+_SETTLED_KINDS = (pa.int64(),) * 5 + (pa.bool_(),) * 2
 
 
-def _settle(batches):
-    """Of rows by (sure, h, c): ranges [a, b) of settled anchors (h null), and one anchor of each surroundings of a mixed group.
+def _settle(batches, length, most):
+    """Of rows by (sure, h, c, x): ranges [a, b) of settled anchors (h null), and one anchor of each surroundings of a mixed group.
 
-    Only the last row and the first surroundings of the group at hand are held.
+    A mixed group of more than ``most`` surroundings is named once more, without a document. Only the
+    last row and the first surroundings of the group at hand are held.
     """
     group = run = first = rep = None
-    twice = told = False
+    twice, kinds = False, 0
+
+    def range_of(doc, k, a, l, r):  # noqa: E741
+        return (None, doc, k, a - l, a + r, l + r >= length, False)
 
-    def closed(rep, twice, out):
-        h, doc, k, a, l, r = rep  # noqa: E741
-        out.append((h, doc, k, a, a, l, r, not twice))
+    def closed(out):
+        """One anchor of the surroundings at hand, if the group has others."""
+        h, doc, k, a, _, _ = rep
+        out.append((h, doc, k, a, a, False, not twice))
+
+    def ended(out):
+        if group is not None and kinds > 1:
+            closed(out)
+            if kinds > most:
+                out.append((group, None, None, None, None, False, False))
 
     for batch in batches:
         out: list[tuple] = []
-        for h, c, doc, k, a, l, r, n, b, sure in zip(*(x.to_numpy(zero_copy_only=False).tolist() for x in batch.columns), strict=True):  # noqa: E741
+        h, sure = batch.column(0).to_numpy(), batch.column(10).to_numpy(zero_copy_only=False).astype(bool)
+        # Hashes that stand alone inside a batch of rows meet nothing.
+        near = np.ones(len(h), bool)
+        near[1:-1] = (h[1:-1] == h[2:]) | (h[1:-1] == h[:-2])
+        rows = batch.filter(pa.array(near | sure))
+        for h, c, x, doc, k, a, l, r, n, b, sure, whole in zip(*(v.to_numpy(zero_copy_only=False).tolist() for v in rows.columns), strict=True):  # noqa: E741
             if sure:
-                out.append((None, doc, k, a, b, 0, 0, False))
+                out.append((None, doc, k, a, b, whole, False))
                 continue
             if h != group:
-                if group is not None and told:
-                    closed(rep, twice, out)
-                group, run, told = h, c, False
+                ended(out)
+                group, run, kinds = h, (c, x), 1
                 rep, twice, first = (h, doc, k, a, l, r), n > 1, n
-            elif c != run:
-                closed(rep, twice, out)
-                told, run = True, c
+            elif (c, x) != run:
+                closed(out)
+                run, kinds = (c, x), kinds + 1
                 rep, twice, first = (h, doc, k, a, l, r), n > 1, n
             else:
                 if first == 1:
-                    _, d, kk, p, ll, rr = rep
-                    out.append((None, d, kk, p - ll, p + rr, 0, 0, False))
+                    out.append(range_of(*rep[1:]))
                     first = 2
                 twice = True
                 if n == 1:
-                    out.append((None, doc, k, a - l, a + r, 0, 0, False))
+                    out.append(range_of(doc, k, a, l, r))
         if out:
-            yield _rows(out, ("h", "doc", "k", "a", "b", "l", "r", "want"), (pa.int64(),) * 5 + (pa.int32(),) * 2 + (pa.bool_(),))
-    if group is not None and told:
-        out = []
-        closed(rep, twice, out)
-        yield _rows(out, ("h", "doc", "k", "a", "b", "l", "r", "want"), (pa.int64(),) * 5 + (pa.int32(),) * 2 + (pa.bool_(),))
+            yield _rows(out, ("h", "doc", "k", "a", "b", "whole", "want"), _SETTLED_KINDS)
+    out = []
+    ended(out)
+    if out:
+        yield _rows(out, ("h", "doc", "k", "a", "b", "whole", "want"), _SETTLED_KINDS)
 
 
 def _rows(rows, names, kinds):
@@ -326,54 +381,65 @@ def suffix_order(group: np.ndarray, text: np.ndarray, size: np.ndarray) -> tuple
     return order, np.concatenate([[-1], np.where(same, exact, -1)]) if n else np.zeros(0, np.int64)
 
 
-def covered(group: np.ndarray, lefts: list[bytes], rights: list[bytes], gap: int) -> tuple[np.ndarray, np.ndarray]:
+def covered(group: np.ndarray, lefts: list[bytes], rights: list[bytes], gap: int, width: int, from_: np.ndarray, to: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each anchor the largest and the smallest d such that the string from d bytes before it occurs at another anchor of its group.
 
-    lefts: up to ``gap`` bytes before the anchors; rights: up to ``gap`` bytes behind the part that a
-    group shares. -1 where there is no such d.
+    lefts: up to ``gap`` bytes before the anchors; rights: up to ``width`` bytes behind the part that a
+    group shares; d lies in [from_, to] of an anchor's group. -1 where there is no such d. First for strings that end ``width`` - d bytes
+    behind the shared part, then, if that is shorter, for those that end ``gap`` - d behind it.
     """
     n = len(group)
 
-    def matrix(parts):
-        out, size = np.zeros((n, gap), np.uint8), np.array([len(p) for p in parts])
+    def matrix(parts, wide):
+        out, size = np.zeros((n, wide), np.uint8), np.array([len(p) for p in parts])
         for i, p in enumerate(parts):
             out[i, : len(p)] = np.frombuffer(p, np.uint8)
         return out, size
 
-    sides = []
-    for parts in ([p[::-1] for p in lefts], rights):
-        text, size = matrix(parts)
-        order, lcp = suffix_order(group, text, size)
-        sides.append((order, lcp, size))
-    (left_order, left_lcp, left_size), (right_order, right_lcp, right_size) = sides
-    most, least = np.full(n, -1), np.full(n, -1)
+    (left_order, left_lcp), left_size = _sorted(group, *matrix([p[::-1] for p in lefts], gap))
+    (right_order, right_lcp), right_size = _sorted(group, *matrix(rights, width))
+    told = []
     classes = [np.empty(n, np.int64), np.empty(n, np.int64)]
-    for d in range(gap + 1):
-        able = np.flatnonzero((left_size >= d) & (right_size >= gap - d))
-        if len(able) < 2:
-            continue
-        for out, order, lcp, need in ((classes[0], left_order, left_lcp, d), (classes[1], right_order, right_lcp, gap - d)):
-            out[order] = np.cumsum(lcp < need)
-        both = classes[0][able] * (n + 1) + classes[1][able]
-        _, back, count = np.unique(both, return_inverse=True, return_counts=True)
-        found = able[count[back] > 1]
-        most[found] = d
-        least[found] = np.where(least[found] < 0, d, least[found])
-    return most, least
-
-
-def _leaves(batches, length):
-    """Of contexts by (h, check): the ranges that their groups settle."""
-    gap = _gap(length)
+    for reach in dict.fromkeys((width, gap)):
+        most, least = np.full(n, -1), np.full(n, -1)
+        for d in range(gap + 1):
+            able = np.flatnonzero((left_size >= d) & (right_size >= reach - d) & (from_ <= d) & (d <= to))
+            if len(able) < 2:
+                continue
+            for out, order, lcp, need in ((classes[0], left_order, left_lcp, d), (classes[1], right_order, right_lcp, reach - d)):
+                out[order] = np.cumsum(lcp < need)
+            both = classes[0][able] * (n + 1) + classes[1][able]
+            _, back, count = np.unique(both, return_inverse=True, return_counts=True)
+            found = able[count[back] > 1]
+            most[found] = d
+            least[found] = np.where(least[found] < 0, d, least[found])
+        told.append((most, least))
+    return told
+
+
+def _sorted(group, text, size):
+    return suffix_order(group, text, size), size
+
+
+_CONTEXT = "h long, x long, doc long, k long, a long, want boolean, lo int, hi int, left binary, right binary"
+_FOUND = "doc long, k long, a long, b long, whole boolean"
+
+
+def _leaves(batches, length, least):
+    """Of contexts by (h, x): the ranges that their groups settle."""
+    gap = _gap(least)
+    width = length - least + gap
     held: list[tuple] = []
 
     def settle(rows):
-        names = {}
-        group = np.array([names.setdefault(x[:2], len(names)) for x in rows])
-        most, least = covered(group, [x[6] for x in rows], [x[7] for x in rows], gap)
-        out = [(doc, k, a - int(m), a - int(s) + length) for (_, _, doc, k, a, want, _, _), m, s in zip(rows, most, least, strict=True) if want and m >= 0]
+        names: dict = {}
+        group = np.array([names.setdefault(v[:2], len(names)) for v in rows])
+        told = covered(group, [v[8] for v in rows], [v[9] for v in rows], gap, width, np.array([v[6] for v in rows]), np.array([v[7] for v in rows]))
+        out = []
+        for size, (most, fewest) in zip(dict.fromkeys((length, least)), told, strict=True):
+            out += [(v[2], v[3], v[4] - m, v[4] - f + size, size == length) for v, m, f in zip(rows, most.tolist(), fewest.tolist(), strict=True) if v[5] and m >= 0]
         if out:
-            yield _rows(out, ("doc", "k", "a", "b"), (pa.int64(),) * 4)
+            yield _rows(out, ("doc", "k", "a", "b", "whole"), (pa.int64(),) * 4 + (pa.bool_(),))
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -385,78 +451,133 @@ def _leaves(batches, length):
         yield from settle(held)
 
 
-def _contexts(batches, length):
-    gap = _gap(length)
+def _contexts(batches, length, least):
+    gap = _gap(least)
     for batch in batches:
         for doc, k, data, needs in zip(*(batch.column(i) for i in range(4)), strict=True):
             doc, k, data = doc.as_py(), k.as_py(), data.as_py()
             out = []
             for need in needs.as_py():
                 a = need["a"]
-                shared = data[a : a + length - gap]
-                check = int.from_bytes(hashlib.blake2b(shared, digest_size=8).digest(), "little", signed=True)
-                out.append((need["h"], check, doc, k, a, need["want"], data[max(0, a - gap) : a], data[a + length - gap : a + length]))
-            yield _rows(out, ("h", "x", "doc", "k", "a", "want", "left", "right"), (pa.int64(),) * 5 + (pa.bool_(), pa.binary(), pa.binary()))
+                behind = a + least - gap
+                check = int.from_bytes(hashlib.blake2b(data[a:behind], digest_size=8).digest(), "little", signed=True)
+                out.append((need["h"], check, doc, k, a, need["want"], 0, gap, data[max(0, a - gap) : a], data[behind : a + length]))
+            yield _rows(out, ("h", "x", "doc", "k", "a", "want", "lo", "hi", "left", "right"), (pa.int64(),) * 5 + (pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))
+
+
+def _halved(contexts: DataFrame, length: int, least: int, most: int) -> list[DataFrame]:
+    """The ranges that groups of more than ``most`` contexts settle.
+
+    A string from d bytes before the anchor, lo <= d <= hi, holds the mid + 1 bytes before it (d > mid)
+    or the gap - mid bytes behind the shared part (d <= mid). So each half of the d's is looked for
+    among the contexts that are equal there; what is alone goes, what is still too large is halved
+    again, and at one d equal strings are counted. A round reads and writes what is large only.
+    """
+    gap, n = _gap(least), partitions(contexts)
+    found, large = [], contexts
+    columns = [c.split()[0] for c in _CONTEXT.split(", ")]
+    while True:
+        one = large.where("lo = hi")
+        for size in dict.fromkeys((length, least)):
+            own = F.substring("right", F.lit(1), F.lit(size - least + gap) - F.col("lo"))
+            equal = one.where(F.octet_length("right") >= F.lit(size - least + gap) - F.col("lo")).select("h", "x", "doc", "k", "a", "want", "lo", F.sha2(own, 256).alias("s"))
+            again = equal.groupBy("h", "x", "s").count().where("count > 1").drop("count")
+            told = equal.join(again, ["h", "x", "s"]).where("want")
+            found.append(told.select("doc", "k", (F.col("a") - F.col("lo")).alias("a"), (F.col("a") - F.col("lo") + size).alias("b"), F.lit(size == length).alias("whole")))
+        many = large.where("lo < hi").withColumn("mid", F.expr("(lo + hi) div 2").cast("int"))
+        before = F.when(F.octet_length("left") > F.col("mid"), F.expr("right(left, mid + 1)"))
+        behind = F.when(F.octet_length("right") >= F.lit(gap) - F.col("mid"), F.substring("right", F.lit(1), F.lit(gap) - F.col("mid")))
+        halves = [(before, F.col("mid") + 1, F.col("hi"), 1), (behind, F.col("lo"), F.col("mid"), 2)]
+        parts = [
+            many.withColumn("s", part).where("s IS NOT NULL").withColumns({"h": F.xxhash64("h", "s", F.lit(side)), "x": F.xxhash64("x", F.sha1("s"), F.lit(side)), "lo": lo, "hi": hi}).select(*columns)
+            for part, lo, hi, side in halves
+        ]
+        halved = written(parts[0].unionByName(parts[1]), "halves")
+        sizes = halved.groupBy("h", "x").count().where("count > 1").checkpoint()
+        small = halved.join(sizes.where(F.col("count") <= most).drop("count"), ["h", "x"]).select(*columns)
+        found.append(_joined(small, n, length, least))
+        over = sizes.where(F.col("count") > most).drop("count")
+        if over.isEmpty():
+            return found
+        large = written(halved.join(over, ["h", "x"]).select(*columns), "halves")
+
+
+def _joined(contexts: DataFrame, n: int, length: int, least: int) -> DataFrame:
+    return contexts.repartition(n, "h").sortWithinPartitions("h", "x").mapInArrow(lambda x: _leaves(x, length, least), _FOUND)
+
+
+def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+_KEPT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("n_repeated", pa.int64()), ("kept", pa.binary())]
 
 
 def _kept(batches):
     for batch in batches:
         out = []
-        n = batch.num_columns
-        for data, ranges in zip(batch.column(n - 2), batch.column(n - 1), strict=True):
+        for data, ranges in zip(batch.column(1), batch.column(2), strict=True):
             data, ranges = data.as_py(), ranges.as_py() or ()
-            at, spans, parts = 0, 0, []
-            open_from = open_to = -1
-            for x in sorted((r["a"], r["b"]) for r in ranges):
-                if x[0] > open_to:
-                    if open_to >= 0:
-                        parts.append(data[at:open_from])
-                        at, spans = open_to, spans + 1
-                    open_from, open_to = x
-                else:
-                    open_to = max(open_to, x[1])
-            if open_to >= 0:
-                parts.append(data[at:open_from])
-                at, spans = open_to, spans + 1
-            parts.append(data[at:])
-            kept = b"".join(parts)
-            out.append((len(data), len(data) - len(kept), spans, kept))
-        yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(),) * 3 + (pa.binary(),), strict=True))] if out else [*batch.columns[: n - 2], *(pa.array([], t) for t in (pa.int64(),) * 3 + (pa.binary(),))], [*batch.schema.names[: n - 2], "n_bytes", "n_removed", "n_spans", "kept"])
-
-
-def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept: every byte goes that a ``length``-byte string covers which starts anywhere else too.
-
-    Strings are compared as UTF-8 bytes within whole texts (null: empty) and judged on the input;
+            spans = _union([(x["a"], x["b"]) for x in ranges if x["whole"]])
+            every = _union([(x["a"], x["b"]) for x in ranges])
+            at, parts = 0, []
+            for a, b in spans:
+                parts.append(data[at:a])
+                at = b
+            kept = b"".join([*parts, data[at:]])
+            out.append((len(data), len(data) - len(kept), len(spans), sum(b - a for a, b in every), kept))
+        columns = zip(*out, strict=True) if out else [()] * len(_KEPT)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, _KEPT, strict=True))], ["doc_id", *(n for n, _ in _KEPT)])
+
+
+def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, also: int | None = ALSO, most: int = AT_ONCE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, n_repeated, kept: every byte goes that a ``length``-byte string covers which starts anywhere else too.
+
+    n_repeated counts, besides, the bytes that such strings of ``also`` bytes cover (those that went
+    included); None counts those that went. Strings are compared as UTF-8 bytes within whole texts (null: empty) and judged on the input;
     overlapping occurrences count, first ones are not spared. ``kept`` is binary, since a range may
     end inside a character. A row that repeats another (id and text) repeats its strings, so both
-    lose them. An empty table gives an empty result; other columns are not looked at.
+    lose them. Ids must be whole numbers or null (TypeError); an empty table gives an empty result;
+    other columns are not looked at.
 
-    The texts are shuffled once (both joins reuse it), the anchors as one row for about ``length`` /
-    4 bytes. A group's surroundings that differ are sorted in one task; what is equal in a batch has
-    been merged before.
+    The texts are shuffled once (both joins reuse it), the anchors as one row for about ``also`` /
+    4 bytes. No task sorts more than ``most`` contexts of one group.
     """
     prepare(df.sparkSession)
-    slim = keyed(df, doc_id, text)
-    met = slim.mapInArrow(lambda x: _met(x, length), _MET)
-    settled = written(met.repartition(partitions(df), "h").sortWithinPartitions("sure", "h", "c").mapInArrow(_settle, _SETTLED), "suffix")
+    least = min(also or length, length)
+    if least < 2 * GRAM:
+        raise ValueError(f"strings must have {2 * GRAM} bytes at least")
     n = partitions(df)
+    met = keyed(df, doc_id, text).mapInArrow(lambda x: _met(x, length, least), _MET)
+    dealt = met.repartition(n, "h").sortWithinPartitions("sure", "h", "c", "x")
+    settled = written(dealt.mapInArrow(lambda x: _settle(x, length, most), _SETTLED), "suffix")
     docs = keyed(df, doc_id, text).repartition(n, "doc", "k")
-    needs = settled.where(F.col("h").isNotNull()).groupBy("doc", "k").agg(F.collect_list(F.struct("a", "h", "want")).alias("needs"))
-    once = docs.join(needs, ["doc", "k"]).select("doc", "k", "data", "needs")
-    contexts = once.mapInArrow(lambda x: _contexts(x, length), "h long, x long, doc long, k long, a long, want boolean, left binary, right binary")
-    leaves = contexts.repartition(n, "h").sortWithinPartitions("h", "x").mapInArrow(lambda x: _leaves(x, length), "doc long, k long, a long, b long")
-    ranges = settled.where(F.col("h").isNull()).select("doc", "k", "a", "b").unionByName(leaves)
-    mine = ranges.groupBy("doc", "k").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    joined = docs.join(mine, ["doc", "k"], "left")
+    needs = settled.where("h IS NOT NULL AND doc IS NOT NULL").groupBy("doc", "k").agg(F.collect_list(F.struct("a", "h", "want")).alias("needs"))
+    contexts = docs.join(needs, ["doc", "k"]).select("doc", "k", "data", "needs").mapInArrow(lambda x: _contexts(x, length, least), _CONTEXT)
+    hot = settled.where("h IS NOT NULL AND doc IS NULL").select("h")
+    if hot.isEmpty():
+        found = [_joined(contexts, n, length, least)]
+    else:
+        contexts = written(contexts, "contexts")
+        found = [_joined(contexts.join(hot, "h", "left_anti"), n, length, least), *_halved(contexts.join(hot, "h", "left_semi"), length, least, most)]
+    ranges = settled.where("h IS NULL").select("doc", "k", "a", "b", "whole")
+    for more in found:
+        ranges = ranges.unionByName(more)
+    mine = ranges.groupBy("doc", "k").agg(F.collect_list(F.struct("a", "b", "whole")).alias("ranges"))
     kind = df.schema[doc_id].dataType.simpleString()
-    back = F.when(F.col("doc") != int(LAST), F.col("doc")).cast(kind).alias("doc_id")
-    return joined.select(back, "data", "ranges").mapInArrow(_kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    joined = docs.join(mine, ["doc", "k"], "left").select(id_of("doc", "k", kind).alias("doc_id"), "data", "ranges")
+    return joined.mapInArrow(_kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, n_repeated long, kept binary")
 
 
 def op3_suffix_dedup(spark, sf_dir):
     got = dedup(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 
 
 QUERIES = {"op3_suffix_dedup": op3_suffix_dedup}

@@ -59,14 +59,44 @@ def corpus(seed, length):
     return [None, "", "short", *texts, texts[0]]
 
 
+def told(rows):
+    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest(), r["n_repeated"]) for r in rows}
+
+
+def wanted(texts, length, also):
+    raw = [(t or "").encode() for t in texts]
+    return {i: (*expected(t, m), sum(s)) for i, (t, m, s) in enumerate(zip(raw, brute(raw, length), brute(raw, also), strict=True))}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_query_against_brute_force(spark, seed):
-    length = (40, 64, 400)[seed % 3]
+    length, also = ((40, 32), (64, 64), (400, 250))[seed % 3]
     texts = corpus(seed, length)
     df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, data int").repartition(3)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix.dedup(df, length=length).collect()}
-    raw = [(t or "").encode() for t in texts]
-    assert got == {i: expected(t, m) for i, (t, m) in enumerate(zip(raw, brute(raw, length), strict=True))}
+    assert told(suffix.dedup(df, length=length, also=also).collect()) == wanted(texts, length, also)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_large_groups_are_halved(spark, seed):
+    """Many different texts around few passages: groups of more than ``most`` contexts, halved down to one d."""
+    rng = random.Random(seed)
+    base = ["".join(rng.choices("abcdefgh", k=90)) for _ in range(2)]
+    texts = []
+    for _ in range(40):
+        p, edge = rng.choice(base), rng.choice(["", "xyxyxyxyxy", "yx"])
+        texts.append("".join(rng.choices("xy", k=rng.randint(0, 30))) + edge + p[rng.choice([0, 0, 0, 20]) :] + edge + "".join(rng.choices("xy", k=rng.randint(0, 30))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = wanted(texts, 60, 40)
+    for most in (3, 10):
+        assert told(suffix.dedup(df, length=60, also=40, most=most).collect()) == want
+
+
+def test_equal_hashes_of_different_bytes_are_told_apart():
+    data = np.frombuffer(b"abcabdabc", np.uint8)
+    at = lambda *x: np.array(x)
+    assert suffix._equal_bytes(data, at(0, 0, 0), at(3, 6, 3), at(3, 3, 2)).tolist() == [False, True, True]
+    c, x = suffix._digests(memoryview(b"aaaaaa"), at(2, 3, 2, 2), at(1, 1, 2, 1), at(2, 2, 1, 3))
+    assert len({*zip(c.tolist(), x.tolist(), strict=True)}) == 3
 
 
 def test_long_texts_in_pieces(spark, monkeypatch):
@@ -81,4 +111,9 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     df = spark.createDataFrame([(1, text), (1, text), (None, text[:300]), (7, "x" * 500)], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["n_removed"]) for r in suffix.dedup(df).collect())
     assert got == [(0, 0), (1, 900), (1, 900), (7, 500)]
+    edge = spark.createDataFrame([(2**63 - 1, text), (None, text), (None, None)], "doc_id long, text string")
+    rows = sorted(((r["doc_id"], r["n_removed"]) for r in suffix.dedup(edge, also=None).collect()), key=repr)
+    assert rows == [(2**63 - 1, 900), (None, 0), (None, 900)]
+    with pytest.raises(TypeError, match="whole numbers"):
+        suffix.dedup(edge.select(suffix.F.lit("a").alias("doc_id"), "text"))
     assert suffix.dedup(df.limit(0)).count() == 0

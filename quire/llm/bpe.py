@@ -24,11 +24,14 @@ from pyspark.sql import functions as F
 from .common import prepare, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Entries of chunks and of pieces that a worker remembers at least.
-CACHE = 250_000
+#: Entries of chunks and of pieces that a worker remembers at least; each takes some 200 bytes.
+CHUNKS, PIECES = 200_000, 100_000
 #: Characters of text that are handled together.
 AT_ONCE = 1 << 21
 _EDGES = re.compile(r"\s | \s")
+_BREAKS = re.compile(r"(?<=\S)(?=[ \n])")
+#: Chunks of more characters aren't remembered.
+SHORT = 48
 
 
 def byte_table() -> list[str]:
@@ -73,7 +76,7 @@ class Codec:
             self.bytes_of[rank] = bytes(back[c] for c in self._text(token))
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.find = regex.compile(public_tokenizers.PATTERN).finditer
-        self.pieces, self.chunks = Cache(CACHE), Cache(CACHE)
+        self.pieces, self.chunks = Cache(PIECES), Cache(CHUNKS)
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -106,9 +109,9 @@ class Codec:
 
     @staticmethod
     def chunked(text: str) -> list[str]:
-        """Parts that the pattern's matches never cross: a space between two non-blanks starts a match."""
+        """Parts that the pattern's matches never cross: blanks behind a non-blank start a match."""
         if _EDGES.search(text):
-            return [text]
+            return _BREAKS.split(text)
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
@@ -124,13 +127,20 @@ class Codec:
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, 4 bytes each."""
         parts = [self.chunked(t) for t in texts]
-        fresh = self.chunks.lacks(chain.from_iterable(parts))
+        known, fresh = self.chunks, self.chunks.lacks(chain.from_iterable(parts))
         if fresh:
             cut = [self.matches(c) for c in fresh]
             self._learn(chain.from_iterable(cut))
             get = self.pieces.__getitem__
-            self.chunks.update(zip(fresh, [b"".join(map(get, m)) for m in cut], strict=True))
-        get = self.chunks.__getitem__
+            found = [b"".join(map(get, m)) for m in cut]
+            known.update((c, ids) for c, ids in zip(fresh, found, strict=True) if len(c) <= SHORT)
+            long = {c: ids for c, ids in zip(fresh, found, strict=True) if len(c) > SHORT}
+            for p in (p for m in cut for p in m if len(p) > SHORT):
+                self.pieces.pop(p, None)
+            if long:
+                get = lambda c: long[c] if c in long else known[c]
+                return [b"".join(map(get, p)) for p in parts]
+        get = known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -169,17 +179,17 @@ def _with(batch: pa.RecordBatch, **more: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *more.values()], [*batch.schema.names, *more])
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", offsets: str | None = None, path: str | None = None) -> DataFrame:
-    """Adds the token ids of each whole text, and their character offsets if a column is named.
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", offsets: str | None = None, decoded: str | None = None, path: str | None = None) -> DataFrame:
+    """Adds the token ids of each whole text, and their character offsets and the bytes that they decode to if columns are named.
 
     Null and empty texts get an empty array. Special tokens are never made; their strings are
-    ordinary text. Columns ``ids`` and ``offsets`` of the input are replaced. Rows are handled one
+    ordinary text. Columns of these names in the input are replaced. Rows are handled one
     by one, so repeated rows get equal ids and an empty table stays empty.
     """
     prepare(df.sparkSession)
-    df = df.drop(*(c for c in (ids, offsets) if c))
+    df = df.drop(*(c for c in (ids, offsets, decoded) if c))
     named = {ids: pa.list_(pa.int32())} | ({offsets: pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))} if offsets else {})
-    ddl = f"{ids} array<int>" + (f", {offsets} array<struct<start:int,end:int>>" if offsets else "")
+    ddl = f"{ids} array<int>" + (f", {offsets} array<struct<start:int,end:int>>" if offsets else "") + (f", {decoded} binary" if decoded else "")
 
     def run(batches):
         codec = Codec.of(path or public_tokenizers.path(RANKS))
@@ -194,6 +204,8 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", offsets: str | N
                 if offsets:
                     pairs = [[{"start": s, "end": e} for s, e in codec.offsets(t)] for t in texts]
                     more[offsets] = pa.array(pairs, named[offsets])
+                if decoded:
+                    more[decoded] = pa.array([codec.decode(np.frombuffer(x, np.int32).tolist()) for x in coded], pa.binary())
                 yield _with(batch.slice(a, b - a), **more)
 
     return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), ddl]))
@@ -249,10 +261,9 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
 
 
 def op6_byte_bpe(spark, sf_dir):
-    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    told = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), "ids")
-    return decode(told).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op6_byte_bpe": op6_byte_bpe}

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 from pathlib import Path
 
 import public_tokenizers
@@ -37,6 +38,16 @@ def test_ids_and_round_trip_on_random_texts(library, text):
     assert codec.decode(ids) == text.encode()
 
 
+def test_caches_forget_without_harm(library):
+    codec = bpe.Codec(PATH)
+    codec.pieces.size = codec.chunks.size = 5
+    rng = random.Random(4)
+    for _ in range(60):
+        texts = ["".join(rng.choices(["the", " ", "  ", "\n", " \n x", "über", "1", "!", "\x1c", "\x85", "\u3000", "z" * 60, "日本"], k=rng.randint(0, 30))) for _ in range(5)]
+        assert codec.encode(texts) == [library.encode_ordinary(t) for t in texts]
+    assert all(len(c) <= bpe.SHORT for c in codec.chunks)
+
+
 def test_offsets_cover_every_character(library):
     codec = bpe.Codec.of(PATH)
     for t in filter(None, TEXTS):
@@ -60,6 +71,8 @@ def test_query_on_whole_documents(spark, sf, library):
 def test_nulls_clashing_columns_repeated_rows_and_empty_tables(spark):
     rows = [(None, None, 1), (1, "a b", 2), (1, "a b", 2), (2, "", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
-    back = bpe.decode(bpe.encode(df, offsets="spans")).collect()
+    back = bpe.decode(bpe.encode(df, offsets="spans", decoded="own"), out="decoded").collect()
     assert sorted(bytes(r["decoded"]) for r in back) == [b"", b"", b"a b", b"a b"]
+    assert all(bytes(r["own"]) == bytes(r["decoded"]) for r in back)
+    assert sorted((r["doc_id"] or 0, r["n"]) for r in bpe.counts(df, out="n").collect()) == [(0, 0), (1, 2), (1, 2), (2, 0)]
     assert bpe.decode(bpe.encode(df.limit(0))).count() == 0

@@ -246,7 +246,9 @@ def recurring(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth:
 
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, alike: float = ALIKE, documents: int = DOCUMENTS) -> DataFrame:
-    """``df`` with its texts rid of lines of recurring templates. Adds n_lines and n_dropped.
+    """``df`` with its texts rid of lines of recurring templates. Adds n_lines and n_dropped (columns of these names are replaced).
+
+    Ids must be whole numbers or null (TypeError).
 
     The first document by id (null last) that has a template keeps all its lines of it, so nothing
     is lost from the corpus. Lines without a token are kept. Null texts stay null; rows that repeat

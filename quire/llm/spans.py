@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from .common import prepare, table
 from .removals import SCHEMA, applied, dealt, keyed, slices
 
-#: A span is a shortest run of at least so many sentences and words; one sentence of ALONE words is one too.
-SENTENCES, WORDS, ALONE = 2, 25, 50
+#: A span is a shortest run of at least so many sentences and words.
+SENTENCES, WORDS = 2, 25
 #: Sentences of more words are cut, into parts of as many words at most.
 PIECE = 13
 _END = re.compile(r"[.!?][\"')\]’”»]*\s+|\n\s*")
@@ -80,8 +80,8 @@ def sentences(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(marks, marks[1:], strict=False)]
 
 
-def runs(words: np.ndarray, first: np.ndarray, last: np.ndarray, least: int, count: int, alone: int) -> np.ndarray:
-    """(a, b) of the spans: from every sentence the shortest run forward, to every sentence the shortest backward.
+def runs(words: np.ndarray, first: np.ndarray, last: np.ndarray, least: int, count: int, alone: int | None) -> np.ndarray:
+    """(a, b) of the spans: from every sentence the shortest run forward, to every sentence the shortest backward; sentences of ``alone`` words, if asked for.
 
     words: by sentence; first, last: the bounds of its document. Runs never leave a document.
     """
@@ -92,7 +92,7 @@ def runs(words: np.ndarray, first: np.ndarray, last: np.ndarray, least: int, cou
     ok = forward <= last
     backward = np.minimum(at + 1 - count, np.searchsorted(total, total[1:] - least, "right") - 1)
     back = backward >= first
-    whole = words >= alone
+    whole = words >= (alone or np.inf)
     pairs = [(at[ok], forward[ok]), (backward[back], at[back] + 1), (at[whole], at[whole] + 1)]
     a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
     return np.unique(a * (n + 1) + b) if n else a
@@ -149,16 +149,17 @@ def _not_first(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x[out], t) for x, t in ((d, pa.int64()), (k, pa.int64()), (a, pa.int32()), (b, pa.int32()))], ["doc", "k", "a", "b"])
 
 
-def repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = WORDS, count: int = SENTENCES, alone: int = ALONE) -> DataFrame:
+def repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = WORDS, count: int = SENTENCES, alone: int | None = None) -> DataFrame:
     """(doc, k, a, b): spans of sentences [a, b) that occur in an earlier document, or earlier in the same one."""
     spans = keyed(df, doc_id, text).mapInArrow(lambda x: _spans(x, least, count, alone), SCHEMA)
     return dealt(spans).mapInArrow(_not_first, "doc long, k long, a int, b int")
 
 
-def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = WORDS, count: int = SENTENCES, alone: int = ALONE) -> DataFrame:
+def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = WORDS, count: int = SENTENCES, alone: int | None = None) -> DataFrame:
     """``df`` with its texts rid of sentences that a non-first repeated span covers.
 
-    Adds n_sentences and n_removed, which count the parts of a cut sentence each. Spans are compared with white space made single. The first
+    Adds n_sentences and n_removed (columns of these names are replaced), which count the parts of a cut sentence each. Spans are compared with white space made single.
+    ``alone`` makes one part of so many words a span too, beyond the method's runs of several. Ids must be whole numbers or null (TypeError). The first
     occurrence, by document id (null last) and place, always stays. Null texts stay null; texts of
     fewer words than a span has are never touched; rows that repeat id and text are one document
     and are all kept. An empty table stays empty. Other columns are returned as they are.

@@ -465,41 +465,40 @@ def _contexts(batches, length, least):
             yield _rows(out, ("h", "x", "doc", "k", "a", "want", "lo", "hi", "left", "right"), (pa.int64(),) * 5 + (pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))
 
 
-def _halved(contexts: DataFrame, length: int, least: int, most: int) -> list[DataFrame]:
-    """The ranges that groups of more than ``most`` contexts settle.
-
-    A string from d bytes before the anchor, lo <= d <= hi, holds the mid + 1 bytes before it (d > mid)
-    or the gap - mid bytes behind the shared part (d <= mid). So each half of the d's is looked for
-    among the contexts that are equal there; what is alone goes, what is still too large is halved
-    again, and at one d equal strings are counted. A round reads and writes what is large only.
+def _halved(contexts: DataFrame, length: int, least: int, size: int, most: int) -> list[DataFrame]:
+    """The ranges that groups of more than ``most`` contexts settle by strings of ``size`` bytes.
+
+    A string from d bytes before the anchor, lo <= d <= hi, needs d bytes before it and reach - d
+    behind the shared part. Contexts that are equal in all that any d needs have all these strings
+    in common: their ranges are told, and one of them stays to meet others. What is still a large
+    group is halved: a string holds the mid + 1 bytes before the anchor (d > mid) or the reach - mid
+    behind (d <= mid), so each half of the d's is looked for among contexts that are equal there.
+    What is alone goes. A round reads and writes what is large only.
     """
     gap, n = _gap(least), partitions(contexts)
-    found, large = [], contexts
+    reach = size - least + gap
     columns = [c.split()[0] for c in _CONTEXT.split(", ")]
+    found, large = [], contexts
     while True:
-        one = large.where("lo = hi")
-        for size in dict.fromkeys((length, least)):
-            own = F.substring("right", F.lit(1), F.lit(size - least + gap) - F.col("lo"))
-            equal = one.where(F.octet_length("right") >= F.lit(size - least + gap) - F.col("lo")).select("h", "x", "doc", "k", "a", "want", "lo", F.sha2(own, 256).alias("s"))
-            again = equal.groupBy("h", "x", "s").count().where("count > 1").drop("count")
-            told = equal.join(again, ["h", "x", "s"]).where("want")
-            found.append(told.select("doc", "k", (F.col("a") - F.col("lo")).alias("a"), (F.col("a") - F.col("lo") + size).alias("b"), F.lit(size == length).alias("whole")))
-        many = large.where("lo < hi").withColumn("mid", F.expr("(lo + hi) div 2").cast("int"))
-        before = F.when(F.octet_length("left") > F.col("mid"), F.expr("right(left, mid + 1)"))
-        behind = F.when(F.octet_length("right") >= F.lit(gap) - F.col("mid"), F.substring("right", F.lit(1), F.lit(gap) - F.col("mid")))
-        halves = [(before, F.col("mid") + 1, F.col("hi"), 1), (behind, F.col("lo"), F.col("mid"), 2)]
-        parts = [
-            many.withColumn("s", part).where("s IS NOT NULL").withColumns({"h": F.xxhash64("h", "s", F.lit(side)), "x": F.xxhash64("x", F.sha1("s"), F.lit(side)), "lo": lo, "hi": hi}).select(*columns)
-            for part, lo, hi, side in halves
-        ]
-        halved = written(parts[0].unionByName(parts[1]), "halves")
-        sizes = halved.groupBy("h", "x").count().where("count > 1").checkpoint()
-        small = halved.join(sizes.where(F.col("count") <= most).drop("count"), ["h", "x"]).select(*columns)
-        found.append(_joined(small, n, length, least))
-        over = sizes.where(F.col("count") > most).drop("count")
+        needs = (F.octet_length("left") >= F.col("hi")) & (F.octet_length("right") >= F.lit(reach) - F.col("lo"))
+        both = F.concat(F.expr("right(left, hi)"), F.substring("right", F.lit(1), F.lit(reach) - F.col("lo")))
+        own = large.withColumn("s", F.when(needs, F.sha2(both, 256)))
+        again = own.where("s IS NOT NULL").groupBy("h", "x", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "k", "a")).alias("one")).where("n > 1").drop("n")
+        now = written(own.join(again, ["h", "x", "s"], "left"), "halves")
+        equal = now.where("one IS NOT NULL")
+        found.append(equal.where("want").select("doc", "k", (F.col("a") - F.col("hi")).alias("a"), (F.col("a") - F.col("lo") + size).alias("b"), F.lit(size == length).alias("whole")))
+        rest = now.where("one IS NULL OR one = struct(doc, k, a)").withColumn("want", F.expr("want AND one IS NULL")).where("lo < hi").select(*columns)
+        sizes = rest.groupBy("h", "x").agg(F.count(F.lit(1)).alias("n"), F.bool_or("want").alias("asks")).where("n > 1 AND asks").drop("asks").checkpoint()
+        found.append(_joined(rest.join(sizes.where(F.col("n") <= most).drop("n"), ["h", "x"]).select(*columns), n, length, least))
+        over = sizes.where(F.col("n") > most).drop("n")
         if over.isEmpty():
             return found
-        large = written(halved.join(over, ["h", "x"]).select(*columns), "halves")
+        many = rest.join(over, ["h", "x"]).withColumn("mid", F.expr("(lo + hi) div 2").cast("int"))
+        before = F.when(F.octet_length("left") > F.col("mid"), F.expr("right(left, mid + 1)"))
+        behind = F.when(F.octet_length("right") >= F.lit(reach) - F.col("mid"), F.substring("right", F.lit(1), F.lit(reach) - F.col("mid")))
+        sides = F.array(F.struct(before.alias("s"), (F.col("mid") + 1).alias("lo"), F.col("hi").alias("hi"), F.lit(1).alias("side")), F.struct(behind.alias("s"), F.col("lo").alias("lo"), F.col("mid").alias("hi"), F.lit(2).alias("side")))
+        each = many.select("h", "x", "doc", "k", "a", "want", "left", "right", F.explode(F.filter(sides, lambda v: v["s"].isNotNull())).alias("v"))
+        large = each.select(F.xxhash64("h", "v.s", "v.side").alias("h"), F.xxhash64("x", F.sha1("v.s"), "v.side").alias("x"), "doc", "k", "a", "want", "v.lo", "v.hi", "left", "right")
 
 
 def _joined(contexts: DataFrame, n: int, length: int, least: int) -> DataFrame:
@@ -560,12 +559,14 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int
     docs = keyed(df, doc_id, text).repartition(n, "doc", "k")
     needs = settled.where("h IS NOT NULL AND doc IS NOT NULL").groupBy("doc", "k").agg(F.collect_list(F.struct("a", "h", "want")).alias("needs"))
     contexts = docs.join(needs, ["doc", "k"]).select("doc", "k", "data", "needs").mapInArrow(lambda x: _contexts(x, length, least), _CONTEXT)
+    contexts = written(contexts, "contexts")
     hot = settled.where("h IS NOT NULL AND doc IS NULL").select("h")
     if hot.isEmpty():
         found = [_joined(contexts, n, length, least)]
     else:
-        contexts = written(contexts, "contexts")
-        found = [_joined(contexts.join(hot, "h", "left_anti"), n, length, least), *_halved(contexts.join(hot, "h", "left_semi"), length, least, most)]
+        found = [_joined(contexts.join(hot, "h", "left_anti"), n, length, least)]
+        for size in dict.fromkeys((length, least)):
+            found += _halved(contexts.join(hot, "h", "left_semi"), length, least, size, most)
     ranges = settled.where("h IS NULL").select("doc", "k", "a", "b", "whole")
     for more in found:
         ranges = ranges.unionByName(more)

@@ -15,12 +15,16 @@ from pyspark.sql.types import IntegralType, NullType
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
+#: Bytes of rows that Python workers get at once, unless the session says otherwise: texts are long, and workers hold a batch several times over.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: ASCII white space, [\x20\x09-\x0D]: what separates words in every contract of this subpackage.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and make sure there is a checkpoint folder.
+    """Let Python workers import this package, bound their batches, and make sure there is a checkpoint folder.
 
     The cluster names the folder in ``spark.checkpoint.dir``; only where that is unset and the
     master is local (tests, a laptop) is a temporary one made.
@@ -29,6 +33,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     known = sc.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):

@@ -18,6 +18,8 @@ from .common import partitions, whole_ids
 
 #: Stands for a null id in the order of ids: last.
 LAST = np.iinfo(np.int64).max
+#: Texts that are put together at once.
+ROWS = 500
 SCHEMA = "h long, doc long, k long, a int, b int, sure boolean"
 
 
@@ -71,7 +73,7 @@ def applied(df: DataFrame, found: DataFrame, doc_id: str, text: str, split: Call
     joined = whole.join(gathered(found), ["doc", "k"], "left").select("row", "parts")
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             row = batch.column(0)
             at, columns = row.type.get_field_index(text), row.flatten()
             out, n, gone = [], [], []

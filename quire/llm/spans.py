@@ -99,7 +99,7 @@ def runs(words: np.ndarray, first: np.ndarray, last: np.ndarray, least: int, cou
 
 
 def _spans(batches, least, count, alone):
-    for doc, k, texts in slices(batches, 1 << 21):
+    for doc, k, texts in slices(batches, 1 << 20):
         cut = [sentences(t) for t in texts]
         sizes = np.array([len(c) for c in cut], np.int64)
         ends = np.cumsum(sizes)

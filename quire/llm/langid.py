@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import prepare, table, tidy
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Words longer than this are summed one by one, not by the matrix of their length.
@@ -28,7 +28,7 @@ LONG = 40
 #: Characters after which sums are rescaled: fewer than make a double vanish, even where each is spelled in four bytes.
 RESCALE = 4
 #: Words whose probabilities a worker keeps.
-CACHE = 400_000
+CACHE = 250_000
 AT_ONCE = 1 << 21
 SMOOTHING = 0.01
 _WORD = re.compile(r"[^\W\d_]")
@@ -277,7 +277,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", path: str | Non
             at = np.flatnonzero(v > 1e-9)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(v[at])], ["lang", "piece", "n"])
 
-    counted = given.mapInArrow(run, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    counted = given.mapInArrow(lambda x: tidy(run(x)), "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     got = counted.toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     vocab = Vocabulary.of(path)
@@ -337,7 +337,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "lang_pred string, score double"])
-    return df.mapInArrow(run, ddl)
+    return df.mapInArrow(lambda x: tidy(run(x)), ddl)
 
 
 def held_out(doc_id: str = "doc_id"):

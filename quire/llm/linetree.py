@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, table
+from .common import partitions, prepare, table, tidy
 from .removals import applied, keyed, slices
 
 #: Leading tokens that choose a leaf; share of equal places behind them at which a line joins a template; documents that make it recurring.
@@ -30,7 +30,7 @@ _DIGITS = re.compile(r"\d+")
 _LETTER = re.compile(r"[^\W\d_]")
 #: Letters of scripts that don't put spaces between words; each stands for a word.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]")
-_CACHE = 500_000
+_CACHE = 200_000
 #: Templates of a leaf that are all compared; more are looked up by an index.
 SCANNED = 64
 
@@ -239,10 +239,10 @@ def recurring(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth:
     Lines enter a leaf in the order of their hashes, so the templates don't depend on how the input
     is dealt out.
     """
-    rows = keyed(df, doc_id, text).mapInArrow(lambda x: _rows(x, depth, documents), _ROWS)
+    rows = keyed(df, doc_id, text).mapInArrow(lambda x: tidy(_rows(x, depth, documents)), _ROWS)
     key = F.when(F.col("sure"), F.xxhash64("doc", "i")).otherwise(F.col("leaf"))
     order = ["sure", "leaf", "h", F.col("sig").isNull(), "doc", "k", "i"]
-    return rows.repartition(partitions(df), key).sortWithinPartitions(*order).mapInArrow(lambda x: _recurring(x, depth, alike, documents), "doc long, k long, a int, b int")
+    return rows.repartition(partitions(df), key).sortWithinPartitions(*order).mapInArrow(lambda x: tidy(_recurring(x, depth, alike, documents)), "doc long, k long, a int, b int")
 
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, alike: float = ALIKE, documents: int = DOCUMENTS) -> DataFrame:

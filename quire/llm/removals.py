@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, whole_ids
+from .common import partitions, tidy, whole_ids
 
 #: Stands for a null id in the order of ids: last.
 LAST = np.iinfo(np.int64).max
@@ -54,10 +54,10 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[t
             a = b
 
 
-def gathered(found: DataFrame, doc_id: str = "doc") -> DataFrame:
-    """(doc, k, parts): the numbers of a document's removed parts, each once."""
-    each = found.select("doc", "k", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("i"))
-    return each.groupBy("doc", "k").agg(F.array_sort(F.collect_set("i")).alias("parts"))
+def gathered(found: DataFrame) -> DataFrame:
+    """(doc, k, parts): the ranges of a document's removed parts, which may overlap, as (from, to) in one long each."""
+    packed = F.col("a").cast("long") * (1 << 32) + F.col("b")
+    return found.groupBy("doc", "k").agg(F.collect_list(packed).alias("parts"))
 
 
 def applied(df: DataFrame, found: DataFrame, doc_id: str, text: str, split: Callable[[str], list[str]], total: str, removed: str) -> DataFrame:
@@ -78,19 +78,19 @@ def applied(df: DataFrame, found: DataFrame, doc_id: str, text: str, split: Call
             at, columns = row.type.get_field_index(text), row.flatten()
             out, n, gone = [], [], []
             for t, parts in zip(columns[at], batch.column(1), strict=True):
-                t, parts = t.as_py(), parts.as_py() or ()
+                t = t.as_py()
+                drop = {i for x in parts.as_py() or () for i in range(x >> 32, x & 0xFFFFFFFF)}
                 pieces = split(t) if t else []
                 n.append(len(pieces))
-                gone.append(len(parts))
-                if parts:
-                    drop = set(parts)
+                gone.append(len(drop))
+                if drop:
                     t = "".join(p for i, p in enumerate(pieces) if i not in drop)
                 out.append(t)
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*names, total, removed])
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"{total} long", f"{removed} long"])
-    return joined.mapInArrow(run, ddl)
+    return joined.mapInArrow(lambda x: tidy(run(x)), ddl)
 
 
 def dealt(found: DataFrame) -> DataFrame:

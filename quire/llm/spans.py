@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import prepare, table
+from .common import prepare, table, tidy
 from .removals import SCHEMA, applied, dealt, keyed, slices
 
 #: A span is a shortest run of at least so many sentences and words.
@@ -151,7 +151,7 @@ def _not_first(batches):
 
 def repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = WORDS, count: int = SENTENCES, alone: int | None = None) -> DataFrame:
     """(doc, k, a, b): spans of sentences [a, b) that occur in an earlier document, or earlier in the same one."""
-    spans = keyed(df, doc_id, text).mapInArrow(lambda x: _spans(x, least, count, alone), SCHEMA)
+    spans = keyed(df, doc_id, text).mapInArrow(lambda x: tidy(_spans(x, least, count, alone)), SCHEMA)
     return dealt(spans).mapInArrow(_not_first, "doc long, k long, a int, b int")
 
 

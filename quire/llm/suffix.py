@@ -20,10 +20,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, table, whole_ids, written
+from .common import partitions, prepare, table, tidy, whole_ids, written
 from .removals import id_of, identity
 
 #: Bytes of the strings that go; of shorter ones that are counted besides: some fifty words.
@@ -31,8 +31,8 @@ LENGTH, ALSO = 400, 250
 GRAM = 16
 #: Bytes of text that are scanned at once; longer texts are scanned in overlapping pieces.
 PIECE = 1 << 20
-#: Contexts that are sorted at once; a group of more is halved.
-AT_ONCE = 8192
+#: Contexts that are sorted at once, in some 200 MB; a group of more is halved.
+AT_ONCE = 32_768
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -465,6 +465,11 @@ def _contexts(batches, length, least):
             yield _rows(out, ("h", "x", "doc", "k", "a", "want", "lo", "hi", "left", "right"), (pa.int64(),) * 5 + (pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))
 
 
+def _tail(n) -> Column:
+    """The last ``n`` of the bytes before an anchor, or all."""
+    return F.substring("left", F.greatest(F.lit(1), F.octet_length("left") - n + 1), n)
+
+
 def _halved(contexts: DataFrame, length: int, least: int, size: int, most: int) -> list[DataFrame]:
     """The ranges that groups of more than ``most`` contexts settle by strings of ``size`` bytes.
 
@@ -478,11 +483,12 @@ def _halved(contexts: DataFrame, length: int, least: int, size: int, most: int)
     gap, n = _gap(least), partitions(contexts)
     reach = size - least + gap
     columns = [c.split()[0] for c in _CONTEXT.split(", ")]
-    found, large = [], contexts
+    # Bytes that no d of a half needs are cut off.
+    needed = {"left": _tail(F.col("hi")), "right": F.substring("right", F.lit(1), F.lit(reach) - F.col("lo"))}
+    found, large = [], contexts.withColumns(needed)
     while True:
         needs = (F.octet_length("left") >= F.col("hi")) & (F.octet_length("right") >= F.lit(reach) - F.col("lo"))
-        both = F.concat(F.expr("right(left, hi)"), F.substring("right", F.lit(1), F.lit(reach) - F.col("lo")))
-        own = large.withColumn("s", F.when(needs, F.sha2(both, 256)))
+        own = large.withColumn("s", F.when(needs, F.sha2(F.concat("left", "right"), 256)))
         again = own.where("s IS NOT NULL").groupBy("h", "x", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "k", "a")).alias("one")).where("n > 1").drop("n")
         now = written(own.join(again, ["h", "x", "s"], "left"), "halves")
         equal = now.where("one IS NOT NULL")
@@ -494,15 +500,16 @@ def _halved(contexts: DataFrame, length: int, least: int, size: int, most: int)
         if over.isEmpty():
             return found
         many = rest.join(over, ["h", "x"]).withColumn("mid", F.expr("(lo + hi) div 2").cast("int"))
-        before = F.when(F.octet_length("left") > F.col("mid"), F.expr("right(left, mid + 1)"))
+        before = F.when(F.octet_length("left") > F.col("mid"), _tail(F.col("mid") + 1))
         behind = F.when(F.octet_length("right") >= F.lit(reach) - F.col("mid"), F.substring("right", F.lit(1), F.lit(reach) - F.col("mid")))
         sides = F.array(F.struct(before.alias("s"), (F.col("mid") + 1).alias("lo"), F.col("hi").alias("hi"), F.lit(1).alias("side")), F.struct(behind.alias("s"), F.col("lo").alias("lo"), F.col("mid").alias("hi"), F.lit(2).alias("side")))
         each = many.select("h", "x", "doc", "k", "a", "want", "left", "right", F.explode(F.filter(sides, lambda v: v["s"].isNotNull())).alias("v"))
         large = each.select(F.xxhash64("h", "v.s", "v.side").alias("h"), F.xxhash64("x", F.sha1("v.s"), "v.side").alias("x"), "doc", "k", "a", "want", "v.lo", "v.hi", "left", "right")
+        large = large.withColumns(needed)
 
 
 def _joined(contexts: DataFrame, n: int, length: int, least: int) -> DataFrame:
-    return contexts.repartition(n, "h").sortWithinPartitions("h", "x").mapInArrow(lambda x: _leaves(x, length, least), _FOUND)
+    return contexts.repartition(n, "h").sortWithinPartitions("h", "x").mapInArrow(lambda x: tidy(_leaves(x, length, least)), _FOUND)
 
 
 def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -553,7 +560,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int
     if least < 2 * GRAM:
         raise ValueError(f"strings must have {2 * GRAM} bytes at least")
     n = partitions(df)
-    met = keyed(df, doc_id, text).mapInArrow(lambda x: _met(x, length, least), _MET)
+    met = keyed(df, doc_id, text).mapInArrow(lambda x: tidy(_met(x, length, least)), _MET)
     dealt = met.repartition(n, "h").sortWithinPartitions("sure", "h", "c", "x")
     settled = written(dealt.mapInArrow(lambda x: _settle(x, length, most), _SETTLED), "suffix")
     docs = keyed(df, doc_id, text).repartition(n, "doc", "k")

@@ -31,8 +31,8 @@ LENGTH, ALSO = 400, 250
 GRAM = 16
 #: Bytes of text that are scanned at once; longer texts are scanned in overlapping pieces.
 PIECE = 1 << 20
-#: Contexts that are sorted at once, in some 200 MB; a group of more is halved.
-AT_ONCE = 32_768
+#: Contexts of several groups that are sorted at once; a group of more than MOST is halved.
+AT_ONCE, MOST = 8192, 16_384
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -329,7 +329,9 @@ def suffix_order(group: np.ndarray, text: np.ndarray, size: np.ndarray) -> tuple
     symbols = np.where(np.arange(width) < size[:, None], text.astype(np.int16) + 1, 0)
     hashes = np.zeros((n, width + 1), np.uint64)
     codes = np.random.default_rng(9).integers(1, 1 << 63, 257, np.int64).astype(np.uint64)
-    np.cumsum(codes[symbols] * powers(_BASES[1], width)[:width], axis=1, out=hashes[:, 1:])
+    np.take(codes, symbols, out=hashes[:, 1:], mode="clip")
+    hashes[:, 1:] *= powers(_BASES[1], width)[:width]
+    np.cumsum(hashes, axis=1, out=hashes)
 
     def common(i, j):
         low, high = np.zeros(len(i), np.int64), np.full(len(i), width)
@@ -542,7 +544,7 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, _KEPT, strict=True))], ["doc_id", *(n for n, _ in _KEPT)])
 
 
-def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, also: int | None = ALSO, most: int = AT_ONCE) -> DataFrame:
+def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, also: int | None = ALSO, most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, n_repeated, kept: every byte goes that a ``length``-byte string covers which starts anywhere else too.
 
     n_repeated counts, besides, the bytes that such strings of ``also`` bytes cover (those that went

@@ -31,8 +31,8 @@ LENGTH, ALSO = 400, 250
 GRAM = 16
 #: Bytes of text that are scanned at once; longer texts are scanned in overlapping pieces.
 PIECE = 1 << 20
-#: Contexts of several groups that are sorted at once; a group of more than MOST is halved.
-AT_ONCE, MOST = 8192, 16_384
+#: Contexts of several groups that are sorted at once, and of one group, in some 200 MB; a larger one is halved.
+AT_ONCE, MOST = 8192, 50_000
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -318,6 +318,15 @@ def _rows(rows, names, kinds):
 # Sorting suffixes
 
 
+def _extensions(symbols: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many first symbols rows i and j have in common, by comparison."""
+    out = np.empty(len(i), np.int64)
+    for at in range(0, len(i), 4096):
+        differ = symbols[i[at : at + 4096]] != symbols[j[at : at + 4096]]
+        out[at : at + 4096] = np.where(differ.any(axis=1), differ.argmax(axis=1), symbols.shape[1])
+    return out
+
+
 def suffix_order(group: np.ndarray, text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merge sort of rows by (group, bytes); also the common extension of each with the one before, -1 between groups.
 
@@ -327,11 +336,11 @@ def suffix_order(group: np.ndarray, text: np.ndarray, size: np.ndarray) -> tuple
     """
     n, width = text.shape
     symbols = np.where(np.arange(width) < size[:, None], text.astype(np.int16) + 1, 0)
-    hashes = np.zeros((n, width + 1), np.uint64)
+    hashes = np.zeros((n, width + 1), np.uint32)  # the upper halves of 64 bits
     codes = np.random.default_rng(9).integers(1, 1 << 63, 257, np.int64).astype(np.uint64)
-    np.take(codes, symbols, out=hashes[:, 1:], mode="clip")
-    hashes[:, 1:] *= powers(_BASES[1], width)[:width]
-    np.cumsum(hashes, axis=1, out=hashes)
+    for at in range(0, n, 2048):
+        sums = np.cumsum(codes[symbols[at : at + 2048]] * powers(_BASES[1], width)[:width], axis=1, dtype=np.uint64)
+        hashes[at : at + 2048, 1:] = sums >> np.uint64(32)
 
     def common(i, j):
         low, high = np.zeros(len(i), np.int64), np.full(len(i), width)
@@ -370,15 +379,13 @@ def suffix_order(group: np.ndarray, text: np.ndarray, size: np.ndarray) -> tuple
         new[block * 2 * run + mine + (low - start)] = order
         order, run = new, 2 * run
     prev, here = order[:-1], order[1:]
-    differ = symbols[prev] != symbols[here]
-    exact = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    exact = _extensions(symbols, prev, here)
     same = group[prev] == group[here]
     k = np.minimum(exact, width - 1)
     if (same & (symbols[prev, k] > symbols[here, k])).any():
         order = np.array(sorted(range(n), key=lambda i: (group[i], symbols[i].tolist())), np.int64)
         prev, here = order[:-1], order[1:]
-        differ = symbols[prev] != symbols[here]
-        exact = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        exact = _extensions(symbols, prev, here)
         same = group[prev] == group[here]
     return order, np.concatenate([[-1], np.where(same, exact, -1)]) if n else np.zeros(0, np.int64)
 

@@ -264,8 +264,8 @@ CLOSERS = "'\"”’»…"
 
 def sentences(x) -> Column:
     """Segments that add up to the text: each ends behind [.!?], closing marks and white space."""
-    marked = F.regexp_replace(_c(x), f"([.!?][{CLOSERS}]*(?U:\\s)+)", "$1\u0001")
-    return F.filter(F.split(marked, "\u0001"), lambda p: p != "")
+    end = f"[.!?][{CLOSERS}]*(?U:\\s)+"
+    return F.regexp_extract_all(_c(x), F.lit(f"(?s).*?{end}|.+"), F.lit(0))
 
 
 # Codes

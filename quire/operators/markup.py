@@ -15,6 +15,7 @@ from quire.functions.predicates import BLOCKS, SKIPPED
 from quire.functions.text import CLOSERS, IMAGE_TYPES, _c
 
 _SENTENCE = re.compile(f"[.!?][{CLOSERS}]*\\s+")
+#: The style element, classes and ids that reading devices look for.
 STYLE = '<style type="text/css" class="kobostylehacks">div#book-inner { margin-top: 0; margin-bottom: 0;}</style>'
 
 

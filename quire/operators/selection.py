@@ -119,3 +119,26 @@ def weighted_upper_median(counts: DataFrame, key: str, value: str, n: str) -> Da
     reach = F.sum(n).over(by.orderBy(value))
     half = F.floor(F.sum(n).over(by) / 2) + 1
     return counts.withColumns({"_reach": reach, "_half": half}).where("_reach >= _half").groupBy(key).agg(F.min(value).alias(value))
+
+
+def success_means(df: DataFrame, level: str, score: str, size: str) -> DataFrame:
+    """For each level: rows, rows with a score, their mean (NaN where there are none) and their KB. Null and NaN scores are failures."""
+    ok = F.col(score).isNotNull() & ~F.isnan(score)
+    return df.groupBy(level).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(ok).alias("measured"),
+        F.coalesce(F.avg(F.when(ok, F.col(score))), F.lit(float("nan"))).alias("mean"),
+        (F.coalesce(F.sum(F.when(ok, F.col(size))), F.lit(0)) / 1024.0).alias("kilobytes"),
+    )
+
+
+def codec_totals(df: DataFrame) -> DataFrame:
+    """For each codec of rows (codec, original, packed, same): files, bytes before and after, their ratio, and whether every file came back the same."""
+    out = df.groupBy("codec").agg(F.count(F.lit(1)).alias("files"), F.sum("original").cast("long").alias("original"), F.sum("packed").cast("long").alias("packed"), F.every("same").alias("lossless"))
+    return out.withColumn("ratio", F.try_divide(F.col("packed").cast("double"), F.col("original").cast("double")))
+
+
+def named(df: DataFrame, key: str, order: str, prefix: str) -> DataFrame:
+    """``df`` with name: the prefix and a number of three digits or more, from 1 on in each key's order."""
+    at = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return df.withColumn("name", F.format_string(f"{prefix}%03d", at))

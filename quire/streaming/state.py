@@ -125,6 +125,8 @@ class OneShot(StatefulProcessor):
             else:
                 out.append((key[0], int(seq), put is not None and now - put < LIFE))
                 put = None
+        for timer in list(self.handle.listTimers()):  # an earlier entry's must not end a later one
+            self.handle.deleteTimer(timer)
         if put is None:
             self.state.clear()
         else:

@@ -38,7 +38,7 @@ def test_a_book_is_modernized_and_a_broken_one_is_left(spark):
     assert any("msv" in f for f in features) and any("HTML syntax" in f for f in features)
     originals = spark.createDataFrame([("b", "b.epub", 9000)], "book_id string, filename string, size long")
     done = M.reports(originals, new, shots, lint, options, "2000-01-01 00:00:00").where("book_id = 'b'").first()
-    assert "1 image(s) re-encoded to WebP, 1 kept as-is" in done["report"] and "b_v3.4.epub" in done["report"]
+    assert "encoded as WebP: 1; left as they were, being no larger: 1" in done["report"] and "b_v3.4.epub" in done["report"]
     assert zipfile.ZipFile(io.BytesIO(bytes(done["data"]))).namelist()[0] == "mimetype"
 
 

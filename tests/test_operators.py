@@ -324,3 +324,28 @@ def test_entries_are_read_once(spark, tmp_path):
     q = state.read_once_stream(stream).writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r["seq"]: r["found"] for r in spark.table("once").collect()} == want
+
+
+def test_a_second_entry_outlives_the_first_ones_timer(spark, tmp_path):
+    """Two entries of one token in micro-batches of their own, then time that passes, then a read."""
+    at = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
+    steps = [("a", 0, 0, "put"), ("a", 1, 200, "put"), ("z", 2, 350, "put"), ("z", 3, 400, "put"), ("a", 4, 450, "get")]
+    rows = lambda some: spark.createDataFrame([(k, n, at(s), kind) for k, n, s, kind in some], "token string, seq long, t string, kind string").select("token", "seq", F.to_timestamp("t").alias("ts"), "kind")
+    batch = {r["seq"]: r["found"] for r in state.read_once(rows(steps).where("kind = 'put'"), rows(steps).where("kind = 'get'")).collect()}
+    assert batch == {4: True}
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema, told = rows(steps).schema, {}
+    for i, step in enumerate(steps):
+        rows([step]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = state.read_once_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    told = {r["seq"]: r["found"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert told == batch
+
+
+def test_sentences_add_up_whatever_signs_they_hold(spark):
+    texts = ["One. Two\u0001three. Four", "\u0001", "a\n\nb! \u0001 c?\u00a0d", "", " . ", "x" * 200_000 + ". y"]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.sentences("t").alias("s")).collect():
+        assert "".join(r["s"]) == r["t"] and all(r["s"])
+    assert spark.createDataFrame([("One. Two\u0001three. Four",)], "t string").select(T.sentences("t").alias("s")).first()["s"] == ["One. ", "Two\u0001three. ", "Four"]

@@ -6,6 +6,7 @@ scheme, role, file_as, text) in document order; texts are trimmed and null if bl
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -156,6 +157,32 @@ def written(elements: DataFrame, updates: DataFrame, modified: str) -> DataFrame
     return stay.unionByName(new).select("book_id", pos.cast("long").alias("pos"), "tag", "text")
 
 
+def updated(packages: DataFrame, updates: DataFrame, modified: str) -> DataFrame:
+    """(book_id, xml): the package documents (book_id, xml, info) of books after their update.
+
+    updates: as ``dropped`` takes them, before their fields are named u_. Books without an update
+    are not returned; one whose package has no metadata gets null.
+    """
+    from . import package
+
+    named = named_updates(updates)
+    elements = packages.select("book_id", F.inline("info.elements"))
+    gone = dropped(elements, named).groupBy("book_id").agg(F.collect_set("ord").alias("gone"))
+    fresh = injected(named, modified).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("seq", "tag", "attrs", "text"))).alias("fresh"))
+
+    def run(xml: pd.Series, drop: pd.Series, new: pd.Series) -> pd.Series:
+        out = []
+        for x, d, n in zip(xml, drop, new, strict=True):
+            try:
+                out.append(package.updated_of(x, set(() if d is None else map(int, d)), [(v["tag"], v["attrs"], v["text"]) for v in n]))
+            except ValueError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    rows = packages.select("book_id", "xml").join(fresh, "book_id").join(gone, "book_id", "left")
+    return rows.select("book_id", F.pandas_udf(run, "string")("xml", "gone", "fresh").alias("xml"))
+
+
 #: Fields in the order they are considered, with what decides whether their language fits.
 MERGED = (("title", "edition"), ("subtitle", "edition"), ("authors", "edition"), ("publisher", "edition"), ("date", "any"), ("isbn", "any"), ("subjects", "work"), ("description", "work"))
 

@@ -99,6 +99,25 @@ def modernized(entries: DataFrame, options: Options = Options(), encoder: images
     return out.unionByName(bad), shots.drop("new_data"), lint
 
 
+def restored(archives: DataFrame, options: Options | None = None, encoder: images.Encoder | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries, errors) of archives (book_id, data): as they were packed, or made anew for a target if options are given.
+
+    errors: (book_id, error) of archives that can't be read, and of books that can't be made anew; the latter's entries stay as they were.
+    """
+    found = archive.restored(archives)
+    errors = found.where("error IS NOT NULL").select("book_id", "error")
+    entries = found.where("error IS NULL").select("book_id", "ord", "path", "data")
+    if options is None:
+        return entries, errors
+    return modernized(entries, options, encoder)[0], errors.unionByName(problems(entries))
+
+
+def problems(entries: DataFrame) -> DataFrame:
+    """(book_id, error) of books whose package can't be found or read."""
+    every = entries.select("book_id").distinct()
+    return every.join(books(entries).select("book_id", F.lit(True).alias("known"), "error"), "book_id", "left").select("book_id", F.when(F.col("known").isNull(), "no package is named").otherwise(F.col("error")).alias("error")).where("error IS NOT NULL")
+
+
 def _elements(good: DataFrame) -> DataFrame:
     return good.select("book_id", F.inline("info.elements"))
 
@@ -147,7 +166,7 @@ def _navigation(needs: DataFrame, rows: DataFrame) -> DataFrame:
                         open_.append((p, str(count)))
             yield pd.DataFrame(out, columns=["book_id", "node_id", "parent_id", "ord", "title", "href", "doc_title"])
 
-    points = texts.mapInPandas(run, _POINTS).persist()
+    points = texts.mapInPandas(run, _POINTS)
     guide = wanted.select("book_id", F.posexplode("guide").alias("ord", "g")).select("book_id", "ord", "g.ref_type", "g.href", "g.title")
     titles = points.where("ord = -1").select("book_id", "doc_title")
     made = nav.documents(titles, points.where("ord >= 0").drop("doc_title"), guide)

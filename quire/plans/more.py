@@ -9,6 +9,7 @@ from quire.functions import predicates as P
 from quire.functions import text as T
 from quire.operators import archive as A
 from quire.operators import geometry as G
+from quire.operators import modernize
 from quire.operators import package as K
 from quire.operators import selection as S
 from quire.sources import containers as C
@@ -143,17 +144,21 @@ def package_info(spark, sf):
 @query(f"SELECT page_id::VARCHAR AS book_id, 'OEBPS/p' || page_id || '.opf' AS path, {_TOLD}, coalesce(octet_length(encode(html)), 0)::INT AS page_bytes FROM pages")
 def container_packages(spark, sf):
     """Containers written and scanned again: the package that each names is found and read, and one entry is looked up."""
+    found = C.read(A.containers(_books(spark, sf)))
+    told = C.packages(found).select("book_id", "path", K.info("xml").alias("x"))
+    page = C.entry(found, "page.html").select("book_id", F.octet_length("data").alias("page_bytes"))
+    out = told.join(page, "book_id")
+    return out.select("book_id", "path", "x.version", "x.unique_identifier", "x.cover_id", "x.nav_exists", "x.ncx_href", "x.has_guide", F.size("x.items").alias("items"), F.col("x.elements")[0]["text"].alias("title"), "page_bytes")
+
+
+def _books(spark, sf):
+    """Entries of a book for each page: what names the package, a decoy, the package, the page."""
     p = table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
     name = F.col("page_id").cast("string")
     path = F.concat(F.lit("OEBPS/p"), name, F.lit(".opf"))
     root = F.concat(F.lit('<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="'), path, F.lit('" media-type="application/oebps-package+xml"/></rootfiles></container>'))
     parts = F.array(*(F.struct(F.lit(i).cast("long").alias("ord"), n.alias("path"), d.cast("binary").alias("data")) for i, (n, d) in enumerate(((F.lit(K.CONTAINER), root), (F.lit("a.opf"), F.lit("<package/>")), (path, _package(F.col("page_id"))), (F.lit("page.html"), F.col("html"))))))
-    entries = p.select(name.alias("book_id"), F.explode(parts).alias("x")).select("book_id", "x.*")
-    found = C.read(A.containers(entries))
-    told = C.packages(found).select("book_id", "path", K.info("xml").alias("x"))
-    page = C.entry(found, "page.html").select("book_id", F.octet_length("data").alias("page_bytes"))
-    out = told.join(page, "book_id")
-    return out.select("book_id", "path", "x.version", "x.unique_identifier", "x.cover_id", "x.nav_exists", "x.ncx_href", "x.has_guide", F.size("x.items").alias("items"), F.col("x.elements")[0]["text"].alias("title"), "page_bytes")
+    return p.select(name.alias("book_id"), F.explode(parts).alias("x")).select("book_id", "x.*")
 
 
 @query(f"""WITH {_ENTRIES} SELECT book_id, count(*) AS entries, count(*) FILTER (ord % 4 = 0) AS changed, sum(CASE WHEN ord % 4 = 0 THEN 3 ELSE size END)::BIGINT AS bytes FROM e GROUP BY book_id""")
@@ -249,3 +254,33 @@ def attribute_overrides(spark, sf):
     found = table(spark, sf, "pages").select("page_id", base.alias("base"), over.alias("over")).select("page_id", K.overridden("base", "over", F.create_map(F.lit("properties"), F.lit("cover-image"))).alias("m"))
     keys = F.array_sort(F.map_keys("m"))
     return found.select("page_id", F.array_join(keys, ",").alias("keys"), F.array_join(F.transform(keys, lambda k: F.col("m")[k]), ",").alias("vals"))
+
+
+@query("""
+SELECT page_id::VARCHAR AS book_id, '3.0' AS version, false AS has_guide, 'T' || page_id AS title, 4 AS entries,
+       md5(CASE WHEN contains(h, 'xmlns="http://www.w3.org/1999/xhtml"') THEN h ELSE replace(h, '<html', '<html xmlns="http://www.w3.org/1999/xhtml"') END) AS page_md5
+FROM (SELECT page_id, regexp_replace(coalesce(html, ''), '<!DOCTYPE\\s+html[^>]*>', '<!DOCTYPE html>', 'gi') AS h FROM pages)""")
+def modernized_books(spark, sf):
+    """A book for each page, made anew: its package, and its page as a document."""
+    new, _, _ = modernize.modernized(_books(spark, sf), modernize.Options())
+    xml = F.max(F.when(F.col("path").startswith("OEBPS/p"), F.decode("data", "UTF-8"))).alias("xml")
+    page = F.max(F.when(F.col("path") == "page.html", F.md5("data"))).alias("page_md5")
+    told = new.groupBy("book_id").agg(F.count(F.lit(1)).cast("int").alias("entries"), xml, page).withColumn("x", K.info("xml"))
+    return told.select("book_id", "x.version", "x.has_guide", F.filter("x.elements", lambda e: e["tag"] == "title")[0]["text"].alias("title"), "entries", "page_md5")
+
+
+@query("""
+SELECT page_id::VARCHAR AS book_id, 'N' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 'A' || page_id || '|B' ELSE '' END AS creators,
+       'c' || page_id AS cover_id, (2 + CASE WHEN page_id % 2 = 0 THEN 6 ELSE 0 END + 1 + 1)::INT AS elements
+FROM pages""")
+def updated_packages(spark, sf):
+    """Every package gets a new title, every second one two authors; what was there stays but for the title."""
+    from quire.operators import metadata
+
+    books = modernize.books(_books(spark, sf))
+    name, even = F.col("book_id"), F.col("book_id").cast("long") % 2 == 0
+    empty = [F.lit(None).cast("string").alias(c) for c in ("subtitle", "language", "publisher", "date", "description", "isbn")]
+    updates = books.select("book_id", F.concat(F.lit("N"), name).alias("title"), F.when(even, F.array(F.concat(F.lit("A"), name), F.lit("B"))).alias("authors"), F.lit(None).cast("array<string>").alias("subjects"), F.lit(None).cast("struct<name:string,position:string>").alias("series"), *empty)
+    told = metadata.updated(books, updates, "2000-01-01T00:00:00Z").select("book_id", K.info("xml").alias("x"))
+    of = lambda tag: F.array_join(F.transform(F.filter("x.elements", lambda e: e["tag"] == tag), lambda e: e["text"]), "|")
+    return told.select("book_id", of("title").alias("title"), of("creator").alias("creators"), "x.cover_id", F.size("x.elements").alias("elements"))

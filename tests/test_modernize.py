@@ -42,6 +42,12 @@ def test_a_book_is_modernized_and_a_broken_one_is_left(spark):
     assert zipfile.ZipFile(io.BytesIO(bytes(done["data"]))).namelist()[0] == "mimetype"
 
 
+def test_books_without_a_package_are_told(spark):
+    rows = [("x", 0, "META-INF/container.xml", CONTAINER), ("y", 0, "a.html", b""), ("z", 0, "META-INF/container.xml", CONTAINER), ("z", 1, "OEBPS/c.opf", b"<package")]
+    got = {r["book_id"]: r["error"] for r in M.problems(spark.createDataFrame(rows, "book_id string, ord int, path string, data binary")).collect()}
+    assert got["x"] == "the package is missing" and got["y"] == "no package is named" and got["z"].startswith("not well-formed")
+
+
 def test_commands(spark, tmp_path, capsys):
     from quire.__main__ import main
 
@@ -50,6 +56,17 @@ def test_commands(spark, tmp_path, capsys):
     main(["archive", str(tmp_path / "in"), "-o", str(tmp_path / "arc")])
     main(["restore", str(tmp_path / "arc"), "-o", str(tmp_path / "back")])
     assert zipfile.ZipFile(tmp_path / "back" / "b.epub").read("OEBPS/c.opf") == OPF
+    assert main(["restore", str(tmp_path / "arc"), "-o", str(tmp_path / "again"), "--target", "3.4", "--spans"]) == 0
+    again = zipfile.ZipFile(tmp_path / "again" / "b.epub")
+    assert "OEBPS/nav.xhtml" in again.namelist() and b"kobo.1.1" in again.read("OEBPS/c1.xhtml")
+    (tmp_path / "arc" / "broken.eparc").write_bytes(b"no archive")
+    capsys.readouterr()
+    assert main(["restore", str(tmp_path / "arc"), "-o", str(tmp_path / "back")]) == 1
+    assert "broken.eparc: " in capsys.readouterr().err
+    assert main(["set", str(tmp_path / "in"), "-o", str(tmp_path / "set"), "--title", "New & old", "--authors", "A", "--authors", "B", "--series", "S", "--position", "2"]) == 0
+    info = K.info_of(zipfile.ZipFile(tmp_path / "set" / "b.epub").read("OEBPS/c.opf").decode())
+    assert [e["text"] for e in info["elements"] if e["tag"] in ("title", "creator")] == ["New & old", "A", "B"] and any(e["property"] == "group-position" and e["text"] == "2" for e in info["elements"])
+    capsys.readouterr()
     main(["show", str(tmp_path / "in")])
     assert "Title:        T" in capsys.readouterr().out
     main(["optimize", str(tmp_path / "in"), "-o", str(tmp_path / "new")])

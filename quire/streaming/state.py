@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -31,23 +32,30 @@ def step(tokens: float | None, last: float | None, now: float, burst: float = BU
 
 
 def limited(requests: DataFrame, key: str = "key", ts: str = "ts", order: str = "seq", burst: float = BURST, rate: float = RATE) -> DataFrame:
-    """(key, seq, allowed, tokens): a fold over each key's requests in time, in the JVM.
+    """(key, seq, allowed, tokens): a fold over each key's requests in time.
 
-    A key's requests are gathered in one row, so a key should be one client; at the bucket's rate
-    even a week of allowed requests is a small array.
+    Requests stream past by key and time; what is held is the bucket at hand, however many requests a key has.
     """
     t = (_micros(ts) / 1e6).alias("t")
-    rows = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(t, F.col(order).alias("o")))).alias("r"))
-    zero = F.struct(F.lit(float(burst)).alias("tokens"), F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<o:bigint,allowed:boolean,tokens:double>>").alias("out"))
-
-    def fold(acc, x):
-        have = F.when(acc["last"].isNull(), acc["tokens"]).otherwise(F.least(F.lit(float(burst)), acc["tokens"] + F.greatest(F.lit(0.0), x["t"] - acc["last"]) * rate))
-        ok = have >= 1
-        left = F.when(ok, have - 1).otherwise(have)
-        return F.struct(left.alias("tokens"), x["t"].alias("last"), F.concat(acc["out"], F.array(F.struct(x["o"].cast("long").alias("o"), ok.alias("allowed"), left.alias("tokens")))).alias("out"))
-
-    done = rows.select(key, F.inline(F.aggregate("r", zero, fold)["out"]))
-    return done.select(key, F.col("o").alias(order), "allowed", "tokens")
+    rows = requests.select(key, F.col(order).cast("long").alias(order), t)
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches):
+        held = tokens = last = None
+        started = False
+        for batch in batches:
+            allowed, left = [], []
+            for k, now in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not started or k != held:
+                    held, tokens, last, started = k, None, now, True
+                tokens, ok = step(tokens, last, now, burst, rate)
+                last = now
+                allowed.append(ok)
+                left.append(tokens)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(allowed, pa.bool_()), pa.array(left, pa.float64())], [key, order, "allowed", "tokens"])
+
+    dealt = rows.repartition(key).sortWithinPartitions(key, "t", order)
+    return dealt.mapInArrow(run, f"`{key}` {kind}, `{order}` long, allowed boolean, tokens double")
 
 
 def idle(requests: DataFrame, now, key: str = "key", ts: str = "ts", seconds: int = IDLE) -> DataFrame:

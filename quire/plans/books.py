@@ -59,12 +59,31 @@ def chapterize(spark, sf):
     return B.book(blocks(spark, sf)).select("book_id", "chapter", "title", F.size("blocks").cast("long").alias("paragraphs"))
 
 
-@query()
+_MADE = f"""
+items AS (SELECT *, {_HEADING} AS head FROM kept),
+islands AS (SELECT *, sum(head::INT) OVER (PARTITION BY book_id ORDER BY page_num, seq) AS island FROM items),
+bodies AS (SELECT *, sum(CASE WHEN head THEN 0 ELSE strlen(text) END) OVER (PARTITION BY book_id, island) AS body FROM islands),
+made AS (SELECT *, head AND body >= 400 AS promoted, sum((head AND body >= 400)::INT) OVER (PARTITION BY book_id ORDER BY page_num, seq) AS chapter FROM bodies)"""
+_XML = "replace(replace(replace(replace(regexp_replace({0}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')"
+
+
+@query(f"""WITH {BLOCKS_SQL}, {_HEADS}, {_KEPT}, {_MADE},
+chapters AS (SELECT book_id, chapter, max(CASE WHEN promoted THEN text END) AS title,
+   coalesce(string_agg('<p>' || {_XML.format('text')} || '</p>' || chr(10), '' ORDER BY page_num, seq) FILTER (NOT promoted), '') AS body FROM made GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chapter) AS number FROM chapters),
+t AS (SELECT book_id, number, coalesce(title, 'Section ' || number) AS title, body FROM n)
+SELECT book_id, number, title, sha256('<h1>' || {_XML.format('title')} || '</h1>' || chr(10) || body) AS body_sha256 FROM t""")
 def reflow_chapters(spark, sf):
     return B.rendered(B.book(blocks(spark, sf))).select("book_id", "number", "title", F.sha2("body", 256).alias("body_sha256"))
 
 
-@query()
+@query(f"""WITH {BLOCKS_SQL}, {_HEADS}, {_KEPT}, {_MADE},
+chapters AS (SELECT book_id, count(DISTINCT chapter) AS chapters, count(*) FILTER (NOT promoted) AS paragraphs FROM made GROUP BY book_id),
+texts AS (SELECT book_id, count(*) FILTER (regexp_matches(text, '[^{_WS}]')) AS with_text, sum(length(regexp_replace(text, '[{_WS}]', '', 'g'))) AS solid,
+   sum(length(regexp_replace(text, '[^\\p{{L}}]', '', 'g'))) AS letters FROM blocks GROUP BY book_id)
+SELECT book_id, coalesce(chapters, 0)::BIGINT AS chapters, coalesce(paragraphs, 0)::BIGINT AS paragraphs,
+       CASE WHEN with_text = 0 THEN 'no_text' WHEN chapters IS NULL THEN 'nothing_left' WHEN solid >= 50 AND letters::FLOAT < solid::FLOAT * 0.45::FLOAT THEN 'not_prose' ELSE 'ok' END AS status
+FROM texts LEFT JOIN chapters USING (book_id)""")
 def import_status(spark, sf):
     return B.imported(blocks(spark, sf))
 
@@ -154,9 +173,24 @@ def audit_report_rows(spark, sf):
     return R.image_lines(_images(spark, sf).where("original_size > 0"))
 
 
-@query()
+_REPORT_ROWS = """i AS (SELECT source AS book_id, doc_id AS ord, lang, length(text) AS o, floor(length(text) * 0.75)::BIGINT AS n, length(text) % 3 = 0 AS kept,
+  rpad(left('img' || doc_id || '.jpg', 29), 30, ' ') || ' | ' || lpad(format('{:,.1f}', round(length(text) / 1024.0, 1)), 13, ' ') || ' | ' || CASE WHEN length(text) % 3 = 0 THEN lpad('—', 9, ' ') || ' | ' || lpad('kept', 10, ' ')
+   ELSE lpad(format('{:,.1f}', round(floor(length(text) * 0.75) / 1024.0, 1)), 9, ' ') || ' | ' || lpad(format('{:.1f}', round((length(text) - floor(length(text) * 0.75)) / length(text) * 100.0, 1)), 9, ' ') || '%' END AS line FROM documents WHERE length(text) > 0)"""
+_SIZE = "lpad(format('{{:,}}', {0}::BIGINT), 16, ' ') || ' bytes = ' || format('{{:.2f}}', {0} / 1048576.0) || ' MB'"
+
+
+@query(f"""WITH {_REPORT_ROWS},
+b AS (SELECT book_id, sum(o) AS o, sum(n) AS n, count(*) FILTER (NOT kept) AS converted, count(*) FILTER (kept) AS kept, string_agg(line, chr(10) ORDER BY ord) AS lines,
+  array_to_string(list_transform(list_sort(list_filter([min(struct_pack(p := ord, f := 'AVIF')) FILTER (NOT kept AND lang = 'en'), min(struct_pack(p := ord, f := 'WebP')) FILTER (NOT kept AND lang IS DISTINCT FROM 'en')], lambda x: x IS NOT NULL)), lambda x: x.f), '/') AS label FROM i GROUP BY book_id)
+SELECT book_id, array_to_string(['Book audit of 2000-01-01 00:00:00', repeat('-', 72), rpad('from', 16, ' ') || book_id || '.epub', rpad('to', 16, ' ') || book_id || '_v3.3.epub',
+  '', 'Bytes', repeat('-', 72), rpad('before', 16, ' ') || {_SIZE.format('o')}, rpad('after', 16, ' ') || {_SIZE.format('n')}, rpad('saved', 16, ' ') || {_SIZE.format('(o - n)')},
+  rpad('share saved', 16, ' ') || lpad(format('{{:.1f}}', round((o - n) / o * 100.0, 1)), 16, ' ') || ' %', '', 'Steps towards EPUB 3.3', repeat('-', 72),
+  '* package document raised to version 3.0', '* time of the last change set in the metadata (UTC)', '* navigation document built from the old table of contents',
+  '* document types of all content documents replaced by that of HTML5', '* guide turned into a hidden list of landmarks', '', 'Images', repeat('-', 72),
+  'encoded as ' || label || ': ' || converted || '; left as they were, being no larger: ' || kept,
+  rpad('name', 30, ' ') || ' | ' || lpad('KB before', 13, ' ') || ' | ' || lpad('KB after', 9, ' ') || ' | ' || lpad('saved', 10, ' '), lines], chr(10)) AS report FROM b""")
 def audit_reports(spark, sf):
-    images = _images(spark, sf)
+    images = _images(spark, sf).where("original_size > 0")
     books = images.groupBy("book_id").agg(F.sum("original_size").alias("original_size"), F.sum("new_size").alias("final_size"))
     books = books.select("book_id", F.concat("book_id", F.lit(".epub")).alias("input_name"), T.output_name("book_id").alias("output_name"), "original_size", "final_size", F.lit("3.3").alias("version"))
     none = spark.createDataFrame([], "book_id string, features array<string>")

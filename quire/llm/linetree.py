@@ -124,7 +124,7 @@ class Leaf:
         return self.n - 1
 
 
-def _rows(batches, depth, documents):
+def _rows(batches, depth, documents, long=LONG):
     """One row for each line of a document: its leaf, hash and place, the hash of its own text if that is long; the tokens' hashes stand in a batch's first row of a line.
 
     A line in ``documents`` documents of one batch recurs for certain: all rows but its first
@@ -143,7 +143,7 @@ def _rows(batches, depth, documents):
                 whole = " ".join(own)
                 h = xxhash.xxh3_64_intdigest(whole)
                 raw = " ".join(line.split()) if _DIGIT.search(line) else whole
-                x = (h if raw == whole else xxhash.xxh3_64_intdigest(raw)) if len(raw) >= LONG or len(raw.encode()) >= LONG else None
+                x = (h if raw == whole else xxhash.xxh3_64_intdigest(raw)) if long is not None and (len(raw) >= long or len(raw.encode()) >= long) else None
                 entry = seen.get(h)
                 if entry is None:
                     leaf = xxhash.xxh3_64_intdigest(f"{len(own)} " + " ".join(own[:depth]))
@@ -233,19 +233,19 @@ def _dropped(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(a), pa.array(a + 1, pa.int32())], ["doc", "k", "a", "b"])
 
 
-def recurring(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, alike: float = ALIKE, documents: int = DOCUMENTS) -> DataFrame:
-    """(doc, k, a, b): lines [a, b) whose template recurs in at least ``documents`` documents, or that recur word for word in two and have LONG bytes, but for the first document.
+def recurring(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, alike: float = ALIKE, documents: int = DOCUMENTS, long: int | None = LONG) -> DataFrame:
+    """(doc, k, a, b): lines [a, b) whose template recurs in at least ``documents`` documents, or that recur word for word in two and have ``long`` bytes (None: none), but for the first document.
 
     Lines enter a leaf in the order of their hashes, so the templates don't depend on how the input
     is dealt out.
     """
-    rows = keyed(df, doc_id, text).mapInArrow(lambda x: tidy(_rows(x, depth, documents)), _ROWS)
+    rows = keyed(df, doc_id, text).mapInArrow(lambda x: tidy(_rows(x, depth, documents, long)), _ROWS)
     key = F.when(F.col("sure"), F.xxhash64("doc", "i")).otherwise(F.col("leaf"))
     order = ["sure", "leaf", "h", F.col("sig").isNull(), "doc", "k", "i"]
     return rows.repartition(partitions(df), key).sortWithinPartitions(*order).mapInArrow(lambda x: tidy(_recurring(x, depth, alike, documents)), "doc long, k long, a int, b int")
 
 
-def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, alike: float = ALIKE, documents: int = DOCUMENTS) -> DataFrame:
+def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, alike: float = ALIKE, documents: int = DOCUMENTS, long: int | None = LONG) -> DataFrame:
     """``df`` with its texts rid of lines of recurring templates. Adds n_lines and n_dropped (columns of these names are replaced).
 
     Ids must be whole numbers or null (TypeError).
@@ -255,7 +255,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int
     id and text are one document; an empty table stays empty; other columns stay as they are.
     """
     prepare(df.sparkSession)
-    return applied(df, recurring(df, doc_id, text, depth, alike, documents), doc_id, text, split_lines, "n_lines", "n_dropped")
+    return applied(df, recurring(df, doc_id, text, depth, alike, documents, long), doc_id, text, split_lines, "n_lines", "n_dropped")
 
 
 def op8_line_dedup(spark, sf_dir):

@@ -30,15 +30,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines of recurring templates but for the first document's; keeps every document."""
+    """Drops lines of recurring templates but for the first document's; keeps every document.
+
+    Lines that only a few documents share are left to the next stages: taken out here, they would
+    leave scraps of near copies that can't be told for what they are.
+    """
     prepare(spark)
-    return _measured(linetree.dedup(docs), docs.columns)
+    return _measured(linetree.dedup(docs, long=None), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near copies."""
+    """Keeps the first document of each group of near copies; of those that the line stage has left without a word, being copies, one."""
     prepare(spark)
-    return voronoi.representatives(docs)
+    return voronoi.representatives(docs, wordless=False)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

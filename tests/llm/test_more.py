@@ -381,6 +381,7 @@ def test_pipeline_gives_what_a_small_corpus_should(spark, tmp_path):
     """Expected by hand: which documents stay, and what is left of their texts."""
     line = "Subscribe to our weekly letter and never miss a story again.\n"
     english = ["The old harbour wakes before the sun has touched its grey stone walls.", "Boats leave in silence while the bakers carry bread along the quay.", "Nobody speaks of the storm that broke the lighthouse many winters ago."]
+    english[:0] = ["A narrow road climbs from the square towards the abandoned monastery.", "Travellers rest there under two chestnut trees and drink cold water.", "From the terrace you can count eleven islands on a clear morning.", "The smallest of them belongs to a family of goat herders.", "They sell white cheese and honey at the ferry landing."]
     other = ["Our garden grows beans and onions behind the tall wooden fence.", "Each evening my sister waters the plants with rain from the barrel.", "When autumn comes we share the harvest with all the neighbours."]
     french = ["Le marché ouvre ses portes quand la brume quitte les toits.", "Les vendeurs crient les prix des poissons et des oranges.", "Une vieille femme choisit ses légumes avec beaucoup de soin."]
     passage = "".join(x + "\n" for x in ("La rivière traverse la ville depuis des siècles.", "Ses ponts relient les quartiers du nord au sud.", "Chaque printemps elle monte et inonde les caves.", "Les habitants la craignent mais ils l'aiment aussi."))
@@ -388,16 +389,16 @@ def test_pipeline_gives_what_a_small_corpus_should(spark, tmp_path):
     text = lambda parts: "".join(p + "\n" for p in parts)
     docs = [
         (1, text(english) + line, "en"),
-        (2, text([*english[:2], english[2].replace("ago.", "past.")]), "en"),  # a near copy of 1
+        (2, text([*english[:-1], english[-1].replace("ago.", "past.")]) + line, "en"),  # a near copy of 1
         (3, "12345 !! 67\n", "en"),  # no letter
-        (4, text(other[:1]) + line + text(other[1:]), "en"),  # a line of 1
-        (5, text(french) + passage, "fr"),
-        (6, text(fields[:2]) + passage + text(fields[2:]), "fr"),  # a passage of 5
+        (4, text(other[:1]) + line + text(other[1:]), "en"),  # a line of six documents
+        (5, line + text(french) + passage, "fr"),
+        (6, text(fields[:2]) + passage + text(fields[2:]) + line, "fr"),  # a passage of 5
         (7, None, "fr"),
         (8, text(english) + line, "en"),  # a copy of 1
     ]
     spark.createDataFrame([(d, t, k, "s", len(t or "")) for d, t, k in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    want = {1: docs[0][1], 4: text(other), 5: docs[4][1], 6: text(fields)}
+    want = {1: docs[0][1], 4: text(other), 5: text(french) + passage, 6: text(fields)}
     library = bpe_library()
     lengths = {d: len(library.encode_ordinary(t)) for d, t in want.items()}
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()

@@ -51,8 +51,9 @@ def quote(x) -> Column:
 
 
 def unquote(x) -> Column:
-    """Percent-decoded; ``+`` stays, and a text with a broken escape stays as it is."""
-    return F.coalesce(F.try_url_decode(F.replace(_c(x), F.lit("+"), F.lit("%2B"))), _c(x))
+    """Percent-decoded; ``+`` and a ``%`` without two hexadecimal digits behind it stay, bytes that aren't UTF-8 become U+FFFD."""
+    whole = F.regexp_replace(F.replace(_c(x), F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(whole), _c(x))
 
 
 def basename(x) -> Column:

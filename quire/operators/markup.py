@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from posixpath import normpath
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -104,27 +105,49 @@ _BULLET = re.compile(r"( {0,3})(?:([-+*])|(\d{1,9})[.)])([ \t]+|$)(.*)$")
 _CELLS = re.compile(r"[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 _INLINE = re.compile(
     r"(?P<esc>\\[!-/:-@\[-`{-~])|(?P<tick>`+)(?P<code>.+?)(?<!`)(?P=tick)(?!`)|(?P<img>!)?\[(?P<label>(?:[^\[\]]|\[[^\]]*\])*)\]\(\s*<?(?P<url>[^\s)>]*)>?(?:\s+[\"'(].*?[\"')])?\s*\)"
+    r"|(?P<shown>!)?\[(?P<named>(?:[^\[\]]|\[[^\]]*\])+)\](?:\[(?P<ref>[^\[\]]*)\])?"
     r"|<(?P<auto>https?://[^\s<>]+)>|(?P<raw></?[A-Za-z][^<>]*>|<!--.*?-->)|(?P<strong>\*\*|__)(?=\S)(?P<bold>.+?)(?<=\S)(?P=strong)"
     r"|(?P<del>~~)(?=\S)(?P<gone>.+?)(?<=\S)~~|(?P<em>\*|(?<!\w)_)(?=\S)(?P<slanted>.+?)(?<=\S)(?P=em)(?!(?<=_)\w)|(?P<hard> {2,}\n|\\\n)|(?P<ent>&(?:#\d+|#x[0-9A-Fa-f]+|\w+);)",
     re.S,
 )
 
+_DEFINITION = re.compile(r" {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ ]*<?([^\s<>]+)>?(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*$")
+
+
+def _label(s: str) -> str:
+    return " ".join(s.split()).casefold()
+
 
 class Markdown:
     """One book's Markdown files, in order: chapters (title or none, body), image names and the first top-level title.
 
     ``image(url)`` gives the extension of a local image that can be embedded, or None. Raw HTML is
-    dropped, footnotes and reference links are left as text.
+    dropped, footnotes are left as text. Links and images by reference follow their file's definitions.
     """
 
     def __init__(self, image=lambda url: None):
-        self.chapters, self.images, self.first, self.image = [], [], None, image
+        self.chapters, self.images, self.first, self.image, self.links = [], [], None, image, {}
 
     def add(self, text: str) -> None:
         self.body, self.title = [], None
-        self.blocks(text.replace("\r\n", "\n").replace("\t", "    ").split("\n"), 0)
+        lines = text.replace("\r\n", "\n").replace("\t", "    ").split("\n")
+        self.links = self.definitions(lines)
+        self.blocks(lines, 0)
         self.flush()
 
+    def definitions(self, lines: list[str]) -> dict[str, str]:
+        """What a file's labels lead to; of several definitions the first holds. Those inside fences don't count."""
+        links: dict[str, str] = {}
+        fence = None
+        for line in lines:
+            if fence is None and (m := _FENCE.match(line)):
+                fence = m[1]
+            elif fence is not None:
+                fence = None if re.match(rf" {{0,3}}{fence[0]}{{{len(fence)},}}\s*$", line) else fence
+            elif m := _DEFINITION.match(line):
+                links.setdefault(_label(m[1]), m[2])
+        return links
+
     def flush(self) -> None:
         body = "".join(self.body)
         if body.strip():
@@ -197,6 +220,8 @@ class Markdown:
                 i = self.listed(lines, i, depth)
             elif not para and "|" in line and i + 1 < len(lines) and "-" in lines[i + 1] and _CELLS.match(lines[i + 1]):
                 i = self.table(lines, i)
+            elif not para and _DEFINITION.match(line):
+                i += 1
             elif not para and re.match(r" {0,3}<(?:[A-Za-z/!?])", line):
                 while i < len(lines) and lines[i].strip():
                     i += 1
@@ -253,16 +278,22 @@ class Markdown:
         return i
 
     def inline(self, text: str) -> str:
-        out, at = [], 0
-        for m in _INLINE.finditer(text):
+        out, at, start = [], 0, 0
+        while m := _INLINE.search(text, start):
+            if m["named"] is not None and _label(m["ref"] or m["named"]) not in self.links:
+                start = m.start() + 1  # no reference: the bracket is text
+                continue
             out.append(esc(text[at : m.start()]))
-            at = m.end()
+            at = start = m.end()
             if m["esc"]:
                 out.append(esc(m["esc"][1]))
             elif m["code"] is not None:
                 out.append(f"<code>{esc(m['code'].strip() if m['code'].strip() else m['code'])}</code>")
             elif m["url"] is not None:
                 out.append(self.picture(m["url"], self.plain(m["label"])) if m["img"] else f'<a href="{esc(m["url"])}">{self.inline(m["label"])}</a>')
+            elif m["named"] is not None:
+                url = self.links[_label(m["ref"] or m["named"])]
+                out.append(self.picture(url, self.plain(m["named"])) if m["shown"] else f'<a href="{esc(url)}">{self.inline(m["named"])}</a>')
             elif m["auto"]:
                 out.append(f'<a href="{esc(m["auto"])}">{esc(m["auto"])}</a>')
             elif m["bold"] is not None:
@@ -319,7 +350,7 @@ def markdown_books(files: DataFrame, assets: DataFrame | None = None) -> DataFra
 
         def image(url):
             ext = url.rpartition(".")[2].lower()
-            return ext if ext in IMAGE_TYPES and folder + url in known else None
+            return ext if ext in IMAGE_TYPES and normpath(folder + url) in known else None
 
         md = Markdown(image)
         found = []
@@ -327,7 +358,7 @@ def markdown_books(files: DataFrame, assets: DataFrame | None = None) -> DataFra
             folder = path[: path.rfind("/") + 1]
             before = len(md.images)
             md.add(text or "")
-            found += [folder + u for u in md.images[before:]]
+            found += [normpath(folder + u) for u in md.images[before:]]
         name = re.sub(r"(?s)^(.+)\.[^.]*$", r"\1", texts["path"].iloc[0].rpartition("/")[2])
         title = md.first or name
         out.append((book, "book", 0, title, None))

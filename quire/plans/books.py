@@ -59,11 +59,11 @@ def chapterize(spark, sf):
     return B.book(blocks(spark, sf)).select("book_id", "chapter", "title", F.size("blocks").cast("long").alias("paragraphs"))
 
 
-_MADE = f"""
-items AS (SELECT *, {_HEADING} AS head FROM kept),
+_ISLANDS = """
 islands AS (SELECT *, sum(head::INT) OVER (PARTITION BY book_id ORDER BY page_num, seq) AS island FROM items),
 bodies AS (SELECT *, sum(CASE WHEN head THEN 0 ELSE strlen(text) END) OVER (PARTITION BY book_id, island) AS body FROM islands),
 made AS (SELECT *, head AND body >= 400 AS promoted, sum((head AND body >= 400)::INT) OVER (PARTITION BY book_id ORDER BY page_num, seq) AS chapter FROM bodies)"""
+_MADE = f"items AS (SELECT *, {_HEADING} AS head FROM kept), {_ISLANDS}"
 _XML = "replace(replace(replace(replace(regexp_replace({0}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')"
 
 

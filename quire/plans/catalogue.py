@@ -1,6 +1,6 @@
 """All queries of the library's own operators, and the SQL that says the same."""
 
-from . import books, metadata, more, scalars
+from . import books, imports, metadata, more, scalars
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "books", "metadata", "more", "scalars"]
+__all__ = ["ORACLES", "QUERIES", "books", "imports", "metadata", "more", "scalars"]

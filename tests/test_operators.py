@@ -14,6 +14,7 @@ from quire.functions import text as T
 from quire.functions.events import events
 from quire.operators import archive as A
 from quire.operators import geometry as G
+from quire.operators import imports
 from quire.operators import lookup as L
 from quire.operators import markup as M
 from quire.operators import nav as V
@@ -33,7 +34,7 @@ def one(spark, column, value=None, **more):
 @pytest.mark.parametrize(
     ("f", "x", "want"),
     [
-        (T.quote, "a b/c~d*e_é", "a%20b/c~d%2Ae_%C3%A9"), (T.unquote, "a+b%20c", "a+b c"), (T.unquote, "100%", "100%"), (T.basename, "a/b/c.d", "c.d"),
+        (T.quote, "a b/c~d*e_é", "a%20b/c~d%2Ae_%C3%A9"), (T.unquote, "a+b%20c", "a+b c"), (T.unquote, "100%", "100%"), (T.unquote, "50%+%zz %41%", "50%+%zz A%"), (T.unquote, "%FF%41", "\ufffdA"), (T.basename, "a/b/c.d", "c.d"),
         (T.extension, "noext", "noext"), (T.extension, "a.TAR.Gz", "gz"), (T.slugify, "Işık Doğudan", "Isik_Dogudan"), (T.slugify, " a ! _ b ", "a_b"), (T.slugify, "!!", "output"),
         (T.capitalize, "hELLO wORLD", "Hello world"), (T.local_name, "dc:title", "title"), (T.author_display, "Doe, Jane", "Jane Doe"), (T.author_display, "A, B, C", "A, B, C"),
         (T.letters_only, "İSTANBUL É1 Abc", "İstanbul É abc"), (T.template, "INTRODUCTION ix 12", "introduction"), (T.dehyphenated, "exam-\n ple  of it A- B", "example of it A- B"),
@@ -106,6 +107,8 @@ def test_events_add_up(text):
         ("a | b\n--|--\n1 | 2", "<table>\n<thead>\n<tr><th>a</th><th>b</th></tr>\n</thead>\n<tr><td>1</td><td>2</td></tr>\n</table>\n"),
         ("x <b>raw</b> y", "<p>x raw y</p>\n"), ("[l](u?a=1&b=2)", '<p><a href="u?a=1&amp;b=2">l</a></p>\n'), ("![alt](missing.png)", "<p>alt</p>\n"), ("![r](https://x/y.png)", '<p><img src="https://x/y.png" alt="r"/></p>\n'),
         ("a\n\n---\n\nb", "<p>a</p>\n<hr/>\n<p>b</p>\n"), ("Title\n---", "<h2>Title</h2>\n"), ("a  \nb", "<p>a<br/>\nb</p>\n"), ("snake_case_name", "<p>snake_case_name</p>\n"),
+        ("a [b *c*][X  y] [x Y] [x y][]\n\n[x y]: /u?a=1&b=2 'title'\n[X Y]: /second", '<p>a <a href="/u?a=1&amp;b=2">b <em>c</em></a> <a href="/u?a=1&amp;b=2">x Y</a> <a href="/u?a=1&amp;b=2">x y</a></p>\n'),
+        ("![pic][p] [none] *[a* b]\n\n[p]: <https://x/y.png>", '<p><img src="https://x/y.png" alt="pic"/> [none] <em>[a</em> b]</p>\n'), ("```\n[a]: b\n```\n[a]", "<pre><code>[a]: b\n</code></pre>\n<p>[a]</p>\n"),
     ],
 )
 def test_markdown(md, want):
@@ -115,7 +118,7 @@ def test_markdown(md, want):
 
 
 def test_markdown_chapters_and_books(spark):
-    files = spark.createDataFrame([("b", "2.md", "# Two\nx"), ("b", "1.md", "intro\n\n# One *x*\n![a](p.png)\n> # not a chapter"), ("c", "only.md", "text")], "book_id string, path string, text string")
+    files = spark.createDataFrame([("b", "2.md", "# Two\nx"), ("b", "1.md", "intro\n\n# One *x*\n![a](./p.png)\n> # not a chapter"), ("c", "only.md", "text")], "book_id string, path string, text string")
     assets = spark.createDataFrame([("b", "p.png")], "book_id string, path string")
     rows = {(r["book_id"], r["kind"], r["number"]): r for r in M.markdown_books(files, assets).collect()}
     assert [rows["b", "chapter", i]["title"] for i in (1, 2, 3)] == ["Section 1", "One x", "Two"]
@@ -197,6 +200,41 @@ def test_inherited_values(spark):
     rows = [("b", 1, None, "root"), ("b", 2, 1, None), ("b", 3, 2, None), ("b", 4, 3, "own"), ("b", 5, 9, None), ("b", 6, 6, None)]
     df = spark.createDataFrame(rows, "book_id string, node_id int, parent_id int, value string")
     assert {r["node_id"]: r["value"] for r in G.inherited(df).collect()} == {1: "root", 2: "root", 3: "root", 4: "own"}
+    chain = spark.createDataFrame([("b", i, i - 1 if i else None, None if i else "v") for i in range(20)], "book_id string, node_id int, parent_id int, value string")
+    assert sorted(r["node_id"] for r in G.inherited(chain).collect()) == list(range(17))
+    assert sorted(r["node_id"] for r in G.inherited(chain, 5).collect()) == list(range(6))
+
+
+PAGES = "book_id string, page_num int, text string, shown_bytes int, full_page_image boolean, figures array<string>"
+RUNS = "book_id string, page_num int, seq int, text string, font_size float, x float, end_x float, y float"
+
+
+def test_imports_of_pages(spark):
+    prose = "these are words " * 30
+    pages = [("ok", 1, f"  Small   head\n\n{prose}", 500, False, ["f"]), ("ok", 2, None, 0, True, ["g"]), ("ok", 3, " \n", 200, False, None), ("sign", 1, "+-*/ " * 20, 100, False, None), ("mute", 1, None, 100, False, None),
+             ("number", 1, "12", 100, False, None), ("scan", 1, "hidden", 5, True, ["s"]), ("unread", 1, None, None, None, None), (None, 1, "x", 100, False, None)]
+    runs = [("ok", 1, 0, "small HEAD", 20.0, 0.0, 9.0, 90.0), ("ok", 1, 1, "a", 10.0, 0.0, 9.0, 70.0), ("ok", 1, 2, "b", 10.0, 0.0, 9.0, 50.0), ("ok", 3, 0, "drawn", 10.0, 0.0, 9.0, 50.0), ("ok", 3, 1, "line", 10.0, 0.0, 9.0, 38.0), ("scan", 1, 0, "not used", 10.0, 0.0, 9.0, 50.0)]
+    scanned = [("scan", 1, "read words"), ("ok", 2, "not used")]
+    books = imports.pages_books(spark.createDataFrame(pages, PAGES), spark.createDataFrame(runs, RUNS), spark.createDataFrame(scanned, "book_id string, page_num int, text string"))
+    chapters, outcomes = ({r["book_id"]: r for r in df.collect()} for df in books)
+    assert {k: (r["tier"], r["chapters"], r["paragraphs"], r["status"]) for k, r in outcomes.items()} == {
+        "ok": ("text_layer", 1, 2, "ok"), "sign": ("text_layer", 1, 1, "not_prose"), "mute": ("text_layer", 0, 0, "undecoded_fonts"), "number": ("text_layer", 0, 0, "no_text"),
+        "scan": ("scan", 1, 1, "ok"), "unread": ("scan", 0, 0, "unread_scan"),
+    }
+    assert chapters["ok"]["title"] == "Small head" and [(b["kind"], b["text"]) for b in chapters["ok"]["blocks"]] == [("paragraph", prose.strip()), ("figure", "0"), ("figure", "0"), ("paragraph", "drawn line")]
+    assert [b["text"] for b in chapters["scan"]["blocks"]] == ["read words"]
+    empty = imports.pages_books(spark.createDataFrame([], PAGES), spark.createDataFrame([], RUNS))
+    assert [df.count() for df in empty] == [0, 0]
+
+
+def test_imports_of_answers(spark):
+    page = '{"pages": [{"markdown": "# T\\n\\n![a](i.png) [far](./i.png)", "images": [{"id": "i.png", "image_base64": "iVBORw0K"}]}]}'
+    rows = [("a", "mistral", "k", 200, page), ("b", "mistral", " ", 200, page), ("c", None, "k", 200, page), ("d", "mistral", "k", 500, "down"), ("e", "mistral", "k", 200, None), ("f", "mistral", "k", None, None), (None, "mistral", "k", 200, page)]
+    found, images, outcomes = imports.answers_books(spark.createDataFrame(rows, "book_id string, provider string, key string, code int, body string"))
+    assert {r["book_id"]: (r["status"], r["error"]) for r in outcomes.collect()} == {"a": ("ok", None), "b": ("no_key", None), "c": ("unknown_provider", None), "d": ("refused", "down"), "e": ("no_text", None), "f": ("refused", None)}
+    kinds = {r["kind"]: r for r in found.collect()}
+    assert set(kinds) == {"book", "chapter", "image"} and kinds["image"]["body"] == "p0_i.png" and '<img src="images/img001.png" alt="a"/>' in kinds["chapter"]["body"]
+    assert [(r["book_id"], r["path"], bytes(r["data"])[:4]) for r in images.collect()] == [("a", "p0_i.png", b"\x89PNG")]
 
 
 ENTRIES = [("mimetype", A.MIMETYPE), ("META-INF/container.xml", b"<container/>"), ("OEBPS/content.opf", OPF.encode()), *((f"OEBPS/ch{i}.xhtml", f"<html><body>{'repetitive chapter text ' * 200}{i}</body></html>".encode()) for i in range(8)), ("OEBPS/i.png", bytes(range(256)) * 16), ("OEBPS/f.otf", b"OTTO" * 100), ("empty.txt", b"")]

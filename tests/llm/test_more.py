@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import bpe, packing, syncmers, warc
@@ -211,6 +212,25 @@ def test_one_far_id_does_not_gather_all_others(spark):
     assert len(sizes) >= 12 and max(sizes) < 100
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 15, 16, 17, 100])
+def test_ranks_among_bounds(spark, n):
+    rng = random.Random(n)
+    bounds = sorted({rng.randint(-50, 2**62) if i % 3 else rng.randint(-50, 50) for i in range(n)})
+    ids = [-51, 0, 2**63 - 1, *bounds, *(b + 1 for b in bounds)]
+    df = spark.createDataFrame([(i,) for i in ids], "v long")
+    assert {r["v"]: r["rank"] for r in df.select("v", syncmers._rank(F.col("v"), bounds).alias("rank")).collect()} == {i: sum(b <= i for b in bounds) for i in ids}
+
+
+def test_ranges_from_few_chosen_ids_lose_no_row(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "CHOSEN", 1)
+    docs = [(i * i if i % 5 else None, f"text {i} " * 9) for i in range(400)] + [(7, "hot")] * 200
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    order = sorted(docs, key=lambda x: (x[0] is None, -(x[0] or 0), x[1].encode()))
+    texts = [t for _, t in order]
+    want = sorted(syncmers.hashlib.sha256(syncmers.edited(t, texts[(i + 1) % len(texts)]).encode()).hexdigest() for i, t in enumerate(texts))
+    assert sorted(r["edited_sha256"] for r in syncmers.fingerprints(df).collect()) == want
+
+
 def test_all_anchors_with_their_places(spark):
     rng = random.Random(2)
     text = "".join(rng.choices("abc é", k=500))

@@ -9,15 +9,18 @@ from quire.functions import predicates as P
 from quire.functions import text as T
 from quire.operators import archive as A
 from quire.operators import geometry as G
+from quire.operators import lookup as L
+from quire.operators import markup as M
 from quire.operators import modernize
 from quire.operators import package as K
 from quire.operators import selection as S
 from quire.sources import containers as C
 
 from .base import query, table
-from .books import _ENTRIES, _entries
+from .books import _ENTRIES, _SENTENCES, _WS, _entries
 from .scalars import _EXT, _NAME, _NAMED, _PATHS, _listed, _paths
 
+_PLAIN = "translate(coalesce(text, ''), '<>&', '   ')"
 _STEM = f"regexp_replace({_NAME}, '^(.+)\\.[^.]*$', '\\1', 's')"
 _IMAGE = "regexp_replace(regexp_replace(path, '^.*[/\\\\]', '', 's'), '[^A-Za-z0-9._-]', '_', 'g')"
 
@@ -284,3 +287,106 @@ def updated_packages(spark, sf):
     told = metadata.updated(books, updates, "2000-01-01T00:00:00Z").select("book_id", K.info("xml").alias("x"))
     of = lambda tag: F.array_join(F.transform(F.filter("x.elements", lambda e: e["tag"] == tag), lambda e: e["text"]), "|")
     return told.select("book_id", of("title").alias("title"), of("creator").alias("creators"), "x.cover_id", F.size("x.elements").alias("elements"))
+
+
+_LINED = f"""l AS (SELECT doc_id, source, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\r?\\n'), lambda x: trim(regexp_replace(x, '[{_WS}]+', ' ', 'g'))), lambda x: x <> '') AS ls FROM documents),
+lines AS (SELECT source AS book_id, doc_id AS page_num, i, regexp_extract(ls[i], '^[^ ]+') AS w, regexp_extract(ls[i], '^[^ ]+ (.*)$', 1) AS rest, CASE WHEN i % 5 = 0 THEN 20.0::FLOAT ELSE 0.0::FLOAT END AS x, (-12 * i - 24 * (i // 3))::FLOAT AS y
+          FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM l))"""
+
+
+@query(f"""WITH {_LINED},
+told AS (SELECT *, CASE WHEN rest = '' THEN w ELSE w || CASE WHEN i % 2 = 0 THEN ' ' ELSE '' END || rest END AS line, lag(y) OVER (PARTITION BY book_id, page_num ORDER BY i) - y AS gap, min(x) OVER (PARTITION BY book_id, page_num) AS margin FROM lines),
+medians AS (SELECT book_id, page_num, list_sort(list(gap))[count(gap) // 2 + 1] AS median FROM told WHERE gap > 0 GROUP BY ALL),
+marked AS (SELECT *, gap IS NULL OR coalesce(gap > median * 1.6::FLOAT, false) OR x > margin + 10 AS opens FROM told LEFT JOIN medians USING (book_id, page_num)),
+paras AS (SELECT *, sum(opens::INT) OVER (PARTITION BY book_id, page_num ORDER BY i) AS p FROM marked)
+SELECT book_id, page_num::INT AS page_num, (p - 1)::INT AS seq, string_agg(line, ' ' ORDER BY i) AS text FROM paras GROUP BY book_id, page_num, p""")
+def paragraph_blocks(spark, sf):
+    """Lines of documents as two runs each, a little apart in height; some gaps between lines are wide, some lines are indented."""
+    i, first = F.col("i"), F.regexp_extract("line", "^[^ ]+", 0)
+    rest = F.regexp_extract("line", "^[^ ]+ (.*)$", 1)
+    x = F.when(i % 5 == 0, 20.0).otherwise(0.0)
+    y = -12.0 * i - 24.0 * F.floor(i / 3)
+    end = x + F.length(first) * 5.0
+    start = end + F.when(i % 2 == 0, 3.0).otherwise(1.0)
+    run = lambda k, text, a, b, h: F.struct((2 * i + k).cast("int").alias("seq"), text.alias("text"), F.lit(10.0).cast("float").alias("font_size"), a.cast("float").alias("x"), b.cast("float").alias("end_x"), h.cast("float").alias("y"))
+    runs = F.array(run(0, first, x, end, y), run(1, rest, start, start + 50.0, y - i % 4))
+    return G.blocks(_lines(spark, sf).select("book_id", "page_num", F.inline(runs)))
+
+
+def _lines(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").cast("int").alias("page_num"), "text")
+    kept = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\r?\n"), T.collapse), lambda t: t != "")
+    return d.select("book_id", "page_num", F.posexplode(kept).alias("i", "line")).withColumn("i", F.col("i") + 1)
+
+
+@query("""WITH s AS (SELECT doc_id, (doc_id % 50)::INT AS page_num, source, octet_length(encode(lang)) AS n, lang FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)
+SELECT source AS book_id, doc_id::INT AS page_num, k::INT AS seq, CASE k WHEN 1 THEN 'x' || lang ELSE lang END AS text, CASE k WHEN 2 THEN 20.0 ELSE 10.0 END::FLOAT AS font_size,
+       CASE k WHEN 0 THEN 100 WHEN 1 THEN 100 ELSE 200 END::FLOAT AS x, CASE k WHEN 0 THEN 100 + 5 * n WHEN 1 THEN 100 + 5 * (n + 1) + 10 ELSE 200 + 10 * n END::FLOAT AS end_x,
+       CASE k WHEN 0 THEN doc_id % 700 WHEN 1 THEN doc_id % 700 - 12 ELSE 2 * (doc_id % 700) - 24 END::FLOAT AS y
+FROM (SELECT *, unnest(range(3)) AS k FROM s)""")
+def drawn_runs(spark, sf):
+    """Every document draws its language three times: plainly, on the next line with a shifted part, and at twice the size."""
+    d = table(spark, sf, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
+    own = F.col("lang").cast("binary")
+    none, bare = F.array().cast("array<float>"), F.array().cast("array<binary>")
+    numbers = lambda *v: F.array(*(F.lit(x).cast("float") for x in v))
+    steps = [("BT", none, None, bare), ("Tf", numbers(10), "F", bare), ("Td", numbers(100, F.col("doc_id") % 700), None, bare), ("Tj", none, None, F.array(own)), ("TL", numbers(12), None, bare), ("T*", none, None, bare),
+             ("TJ", numbers(-1000), None, F.array(F.lit(b"x"), own)), ("q", none, None, bare), ("cm", numbers(2, 0, 0, 2, 0, 0), None, bare), ("odd", none, None, bare), ("Tj", none, None, F.array(own)), ("Q", none, None, bare)]
+    rows = F.array(*(F.struct(F.lit(i).alias("seq"), F.lit(op).alias("op"), n.alias("numbers"), F.lit(name).cast("string").alias("name"), s.alias("strings")) for i, (op, n, name, s) in enumerate(steps)))
+    return G.runs(d.select(F.col("source").alias("book_id"), F.col("doc_id").cast("int").alias("page_num"), F.inline(rows)))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_SENTENCES.replace('text', _PLAIN)} AS parts, {_PLAIN} AS plain FROM documents)
+SELECT doc_id, md5('<html><head>{M.STYLE}</head><body><div id="book-columns"><div id="book-inner"><p>' || CASE WHEN regexp_matches(plain, '[^{_WS}]') THEN array_to_string(list_transform(parts, lambda s, i: '<span class="koboSpan" id="kobo.1.' || i || '">' || s || '</span>'), '') ELSE plain END
+   || '</p><pre>A. B.</pre>' || '<span class="koboSpan" id="kobo.2.1"><img src="a"/></span>' || '</div></div></body></html>') AS spans_md5 FROM t""")
+def paragraph_spans(spark, sf):
+    """A document's text as one paragraph, before preformatted text and an image."""
+    plain = F.translate(F.coalesce("text", F.lit("")), "<>&", "   ")
+    page = F.concat(F.lit("<html><head></head><body><p>"), plain, F.lit('</p><pre>A. B.</pre><img src="a"/></body></html>'))
+    return table(spark, sf, "documents").select("doc_id", F.md5(M.spans(page)).alias("spans_md5"))
+
+
+@query("""WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY lpad((999999999 - doc_id)::VARCHAR, 9, '0')) AS n FROM documents WHERE source IS NOT NULL)
+SELECT source AS book_id, 'chapter' AS kind, n AS number, 'D' || doc_id || ' x' AS title,
+       '<h1>D' || doc_id || ' <em>x</em></h1>' || chr(10) || '<ul>' || chr(10) || '<li>a' || doc_id || '</li>' || chr(10) || '<li>b</li>' || chr(10) || '</ul>' || chr(10) || '<blockquote>' || chr(10) || '<p><code>q</code></p>' || chr(10) || '</blockquote>' || chr(10) || '<p><a href="/u' || doc_id || '">l</a></p>' || chr(10) AS body
+FROM d UNION ALL SELECT source, 'book', 0, 'D' || doc_id || ' x', NULL FROM d WHERE n = 1""")
+def markdown_order(spark, sf):
+    """Markdown files named against the order of their ids: a heading, a list, a quote and a link by reference in each."""
+    d = table(spark, sf, "documents").where("source IS NOT NULL")
+    name = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("# D"), name, F.lit(" *x*\n\n- a"), name, F.lit("\n- b\n\n> `q`\n\n[l][r]\n\n[R]: /u"), name)
+    return M.markdown_books(d.select(F.col("source").alias("book_id"), F.concat(F.lpad((F.lit(999999999) - F.col("doc_id")).cast("string"), 9, "0"), F.lit(".md")).alias("path"), text.alias("text")))
+
+
+_ASCII = "regexp_replace(coalesce(text, ''), '[^A-Za-z0-9.\\-_ \\t\\n\\r\\f\\x0B]', '', 'g')"
+
+
+@query(f"""WITH s AS (SELECT doc_id, coalesce(nullif(trim(regexp_replace({_ASCII}, '[_ \\t\\n\\r\\f\\x0B]+', '_', 'g'), '_'), ''), 'output') AS slug FROM documents)
+SELECT doc_id, md5(slug) AS slug_md5, md5(slug || '_v3.3.epub') AS output_md5 FROM s""")
+def plain_slugs(spark, sf):
+    """Whole texts without what isn't ASCII as file names."""
+    ascii_ = F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x00-\\x7F]", "")
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.slugify(ascii_)).alias("slug_md5"), F.md5(T.output_name(T.slugify(ascii_))).alias("output_md5"))
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id)
+SELECT conv_id::VARCHAR AS book_id, (n + 5)::INT AS entries, (n + 2)::INT AS items, '3.0' AS version, true AS nav_exists, 'B<' || conv_id || '>' AS title,
+       md5(array_to_string(list_concat(['mimetype', 'META-INF/container.xml', 'OEBPS/images/img001.png'], list_transform(range(1, n + 1), lambda i: 'OEBPS/ch' || lpad(i::VARCHAR, greatest(3, length(i::VARCHAR))::INT, '0') || '.xhtml'), ['OEBPS/nav.xhtml', 'OEBPS/content.opf']), ',')) AS paths_md5
+FROM c""")
+def scratch_books(spark, sf):
+    """Books made from scratch out of conversations: a chapter a turn, and one image."""
+    turns = table(spark, sf, "conversations").where("conv_id IS NOT NULL").select(F.col("conv_id").cast("string").alias("book_id"), "turn")
+    chapters = S.named(turns, "book_id", "turn", "").select("book_id", F.col("name").cast("long").alias("number"), F.concat(F.lit("T"), "turn").alias("title"), F.lit("<p/>").alias("body"))
+    books = turns.select("book_id").distinct()
+    images = books.select("book_id", F.lit(1).cast("long").alias("number"), F.lit("png").alias("ext"), F.lit(b"\x89PNG").alias("data"))
+    entries = M.book_entries(chapters, images, books.select("book_id", F.concat(F.lit("B<"), "book_id", F.lit(">")).alias("title"), F.lit("en").alias("language"), F.lit("2000-01-01T00:00:00Z").alias("modified")))
+    xml = F.max(F.when(F.col("path").endswith(".opf"), F.decode("data", "UTF-8"))).alias("xml")
+    paths = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "path"))), lambda e: e["path"]), ",")).alias("paths_md5")
+    told = entries.groupBy("book_id").agg(F.count(F.lit(1)).cast("int").alias("entries"), xml, paths).withColumn("x", K.info("xml"))
+    return told.select("book_id", "entries", F.size("x.items").alias("items"), "x.version", "x.nav_exists", F.filter("x.elements", lambda e: e["tag"] == "title")[0]["text"].alias("title"), "paths_md5")
+
+
+@query("""SELECT c_custkey, ['a', 'a', 'b', 'b', 'b', NULL][c_custkey % 6 + 1] AS provider FROM customer""")
+def provider_names(spark, sf):
+    named = F.element_at(F.array(*map(F.lit, ("openlibrary", "ol", "google", "googlebooks", "google-books", "other"))), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", L.provider(named).alias("provider"))

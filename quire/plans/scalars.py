@@ -186,7 +186,15 @@ def slugify(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.slugify(first).alias("slug"), T.output_name(T.slugify(first)).alias("output"))
 
 
-@query()
+#: The 32-bit cyclic redundancy check by its definition: a table of the reversed polynomial, a step a byte.
+_CRC_TABLE = "list_transform(range(256), lambda c: list_reduce(list_prepend(c, [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"
+
+
+@query(f"""WITH t AS (SELECT {_CRC_TABLE} AS steps),
+h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
+b AS (SELECT doc_id, h, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT) AS bytes FROM h),
+c AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, steps[(xor(a, x) & 255) + 1])), 4294967295) AS crc FROM b, t)
+SELECT doc_id, lpad(printf('%x', crc), 8, '0') AS crc32, false AS changed_passes FROM c""")
 def crc_integrity(spark, sf):
     from quire.operators.archive import intact
 

@@ -65,12 +65,22 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, (_mix(rest + h[at + K - S]) >> np.uint64(32)).astype(np.uint32)
 
 
+def distinct(text: str | None) -> np.ndarray:
+    """The different hashes of all anchors, in the order of their first places."""
+    h, first = np.unique(anchors(text or "")[1], return_index=True)
+    return h[np.argsort(first)]
+
+
+def sketch(h: np.ndarray) -> str:
+    """base64 of the smallest ``ANCHORS`` of different hashes, in their order."""
+    if len(h) > ANCHORS:
+        h = h[h <= np.partition(h, ANCHORS - 1)[ANCHORS - 1]]
+    return base64.b64encode(h.astype("<u4").tobytes()).decode()
+
+
 def fingerprint(text: str | None) -> str:
     """base64 of the anchors' hashes in text order, 4 bytes each; '' for a null or empty text."""
-    at, h = anchors(text or "")
-    kept, first = np.unique(h, return_index=True)
-    kept, first = kept[:ANCHORS], first[:ANCHORS]
-    return base64.b64encode(kept[np.argsort(first)].astype("<u4").tobytes()).decode()
+    return sketch(distinct(text))
 
 
 def likeness(a: str, b: str) -> float:
@@ -91,6 +101,22 @@ def likeness(a: str, b: str) -> float:
     return len(ends) / len(union)
 
 
+def overlap(x: np.ndarray, y: np.ndarray) -> float:
+    """What ``likeness`` estimates: the share of all anchors of both texts that each holds, as far as they come in one order."""
+    if np.array_equal(x, y):
+        return 1.0
+    if not len(x) or not len(y):
+        return 0.0
+    by = np.argsort(y)
+    at = by[np.minimum(np.searchsorted(y, x, sorter=by), len(y) - 1)]
+    places = at[y[at] == x].tolist()
+    ends: list[int] = []
+    for p in places:
+        k = len(ends) if not ends or p > ends[-1] else bisect_left(ends, p)
+        ends[k : k + 1] = [p]
+    return len(ends) / (len(x) + len(y) - len(places))
+
+
 def edited(text: str, following: str) -> str:
     """The last third of the text replaced by as many characters of the beginning of the next one."""
     cut = len(text) // 3
@@ -167,9 +193,12 @@ def positions(df: DataFrame, text: str = "text") -> DataFrame:
     return df.mapInArrow(run, ddl)
 
 
-def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
+    A fingerprint holds ``ANCHORS`` anchors at most. With ``exact`` there follow, of all anchors
+    of the whole texts: n_anchors (the different ones), overlap_edited, overlap_next.
+
     The edited text has its last third replaced from the next document by falling id; after the last
     comes the first, so a lone document follows itself. Null texts are empty, with '' as fingerprint.
     Rows with equal ids follow one another by text. Ids must be whole numbers (TypeError); other
@@ -186,24 +215,29 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             out = []
             for i, t, part, head in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 t = t or ""
-                own = fingerprint(t)
+                whole = distinct(t)
+                own = sketch(whole)
                 if held and held[3] == part:
-                    j, before, print_, _ = held
+                    j, before, print_, _, every = held
                     changed = edited(before, t)
-                    again = fingerprint(changed)
+                    changed_whole = distinct(changed)
+                    again = sketch(changed_whole)
                     digest = hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest()
-                    out.append((j, len(before), digest, print_, again, likeness(print_, again), likeness(print_, own)))
-                held = None if head else (i, t, own, part)
+                    more = (len(every), overlap(every, changed_whole), overlap(every, whole)) if exact else ()
+                    out.append((j, len(before), digest, print_, again, likeness(print_, again), likeness(print_, own), *more))
+                held = None if head else (i, t, own, part, whole)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), told, strict=True)], schema=told)
 
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    told = pa.schema([("doc_id", kinds.get(id_type, pa.int64())), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-    return ordered.select("doc_id", "text", "_part", "_head").mapInArrow(run, f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    more = [("n_anchors", pa.int64()), ("overlap_edited", pa.float64()), ("overlap_next", pa.float64())] if exact else []
+    told = pa.schema([("doc_id", kinds.get(id_type, pa.int64())), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), *more])
+    ddl = f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return ordered.select("doc_id", "text", "_part", "_head").mapInArrow(run, ddl + (", n_anchors long, overlap_edited double, overlap_next double" if exact else ""))
 
 
 def op9_syncmer_fingerprints(spark, sf_dir):
-    return fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprints(table(spark, sf_dir, "documents"), exact=True)
 
 
 QUERIES = {"op9_syncmer_fingerprints": op9_syncmer_fingerprints}

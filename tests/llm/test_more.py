@@ -206,6 +206,40 @@ def test_whole_query_against_a_plain_version(spark, tmp_path):
     assert got == want
 
 
+def test_the_query_compares_all_anchors_of_long_texts(spark, tmp_path):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passage = " ".join(word() for _ in range(20))
+    docs = [(i, " ".join([*(word() for _ in range(300)), *([passage] if i % 3 else []), *(word() for _ in range(200))])) for i in range(5)]
+    docs += [(5, docs[4][1][300:] + docs[4][1][:300]), (6, None), (7, ""), (8, "short"), (9, "short")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def every(text):
+        at, h = syncmers.anchors(text)
+        assert at.tolist() == slow_anchors(text) or len(at) < 2
+        return list(dict.fromkeys(h.tolist()))
+
+    def shared(x, y):
+        if x == y:
+            return 1.0
+        a, b = ([v for v in z if v in both] for both in [{*x} & {*y}] for z in (x, y))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, v in enumerate(a):
+            for j, w in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if v == w else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1] / len({*x, *y})
+
+    order = sorted(docs, reverse=True)
+    want = {}
+    for i, (d, t) in enumerate(order):
+        t, following = t or "", order[(i + 1) % len(order)][1] or ""
+        x, e, y = map(every, (t, t[: len(t) - len(t) // 3] + following[: len(t) // 3], following))
+        want[d] = (len(x), shared(x, e), shared(x, y))
+    got = {r["doc_id"]: r for r in syncmers.op9_syncmer_fingerprints(spark, str(tmp_path)).collect()}
+    assert {d: (r["n_anchors"], r["overlap_edited"], r["overlap_next"]) for d, r in got.items()} == want
+    assert want[2][0] > 64 and want[2][2] > 0 == want[1][2]
+
+
 def test_one_far_id_does_not_gather_all_others(spark):
     df = spark.createDataFrame([(i, "t") for i in range(400)] + [(2**60, "t")], "doc_id long, text string")
     sizes = [r["count"] for r in syncmers._dealt(df, "doc_id").groupBy("_part").count().collect()]
